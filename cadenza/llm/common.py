@@ -72,7 +72,7 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
-def bounded_batches(spark: SparkSession, records: int = 2000, mb: int = 8) -> None:
+def bounded_batches(spark: SparkSession, records: int = 2000, mb: int = 4) -> None:
     """Holds Arrow batches to so many rows and bytes, so that long texts can't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
@@ -101,3 +101,8 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], name: str) -> Da
     on = [numbered[k].eqNullSafe(counts[f"_{k}"]) for k in keys]
     joined = numbered.join(counts, on)
     return joined.withColumn(name, (F.col("_row") - 1 + F.col("_before")).cast("long")).drop(*[f"_{k}" for k in keys], "_salt", "_row", "_before")
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(target)

@@ -21,7 +21,7 @@ PAD = 40
 #: Pieces up to this many bytes are compared as whole machine words; longer ones are encoded one by one.
 WORDS = 4
 #: Bytes of text that one pass handles; a longer text is a pass of its own, cut into pieces like any other.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 2 << 20
 
 #: Of a piece's k-th machine word, the bits that belong to the piece, by the piece's length.
 _MASKS = [np.array([2 ** (8 * min(8, max(0, n - 8 * k))) - 1 for n in range(8 * WORDS + 1)], np.uint64) for k in range(WORDS)]
