@@ -90,8 +90,12 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, runs: bool = False) -> np.ndarray
     return np.flatnonzero(begins)
 
 
-def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece its number, and for each number the index of its first piece."""
+def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece its number, and for each number the index of its first piece.
+
+    Equal numbers always mean equal bytes. With long=True equal bytes mean equal numbers as well; else each piece beyond
+    8 * WORDS bytes has a number of its own.
+    """
     n = len(starts)
     length = ends - starts
     short = length <= 8 * WORDS
@@ -108,12 +112,20 @@ def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     found, _ = pd.factorize(mixed[short])
     codes[short] = found
     top = int(found.max()) + 1 if len(found) else 0
-    codes[~short] = top + np.arange(n - len(found))
-    first = np.empty(top + n - len(found), np.int64)
+    rest = np.arange(n - len(found))
+    if long and len(rest):
+        seen: dict[bytes, int] = {}
+        rest = np.array([seen.setdefault(buf[a:b].tobytes(), len(seen)) for a, b in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True)])
+    codes[~short] = top + rest
+    first = np.empty(int(codes.max()) + 1 if n else 0, np.int64)
     first[codes[::-1]] = np.arange(n)[::-1]
     same = first[codes]
     if any(((w[same] != w) & short).any() for w in words) or (length[same] != length)[short].any():
-        return np.arange(n), np.arange(n)  # two pieces met in 64 bits: encode each by itself
+        # Two different pieces met in 64 bits: tell all of this batch apart by their bytes.
+        seen = {}
+        codes = np.array([seen.setdefault(buf[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        first = np.empty(len(seen), np.int64)
+        first[codes[::-1]] = np.arange(n)[::-1]
     return codes, first
 
 
