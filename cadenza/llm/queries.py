@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .kd_shards import op3_kd_shards
+from .kneser_ney import op10_kneser_ney
 from .ranked_varint import op4_ranked_varint
 from .sentencepiece_codec import op7_sentencepiece
 from .slack_packing import op6_slack_packing
 from .token_count import op9_token_counts
+from .toxicity_cnn import op1_toxicity_cnn
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_ranked_varint, op6_slack_packing, op7_sentencepiece, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_cnn, op3_kd_shards, op4_ranked_varint, op6_slack_packing, op7_sentencepiece, op9_token_counts, op10_kneser_ney)}
 
 
 def queries() -> dict:
