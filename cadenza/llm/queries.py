@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .e8_neardup import op5_e8_neardup
 from .kd_shards import op3_kd_shards
 from .kneser_ney import op10_kneser_ney
 from .ranked_varint import op4_ranked_varint
@@ -10,7 +11,7 @@ from .slack_packing import op6_slack_packing
 from .token_count import op9_token_counts
 from .toxicity_cnn import op1_toxicity_cnn
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_cnn, op3_kd_shards, op4_ranked_varint, op6_slack_packing, op7_sentencepiece, op9_token_counts, op10_kneser_ney)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_cnn, op3_kd_shards, op4_ranked_varint, op5_e8_neardup, op6_slack_packing, op7_sentencepiece, op9_token_counts, op10_kneser_ney)}
 
 
 def queries() -> dict:
