@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .grouping import bounds, pairs, spanning, whole_groups
 
 #: Rows of one cell that are compared at once; a larger cell is compared in pairs of such blocks.
 BLOCK = 1024
@@ -113,24 +114,6 @@ def _meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, cell[np.arange(len(t)), t]
 
 
-def _local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the same nodes as u-v do, at most one for each node."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def links(vectors: DataFrame, lattice: Lattice) -> DataFrame:
     """From distinct vectors (id long, n long, embedding array<float>): rows (id, n) with how many vectors are linked, counting
     n for each, where other is null; and rows (id, other) with links that give the same components."""
@@ -163,28 +146,17 @@ def _keyed(lattice: Lattice):
 
 def _compared(lattice: Lattice):
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
         get = lambda c: rows.column(c).to_numpy()
-        unit = _unit(rows.column("embedding").chunk(0) if rows.num_rows else pa.array([], pa.list_(pa.float32())))
+        unit = _unit(rows.column("embedding").chunk(0))
         ids, n, t, cell, home, block, low, high = (get(c) for c in ("id", "n", "t", "cell", "home", "b", "low", "high"))
-        key = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-        size = np.diff(np.append(key, len(t)))
-        # Each row against those after it in its group, in slices of bounded size.
-        after = np.repeat(key + size, size) - np.arange(len(t)) - 1
         us, vs = [], []
-        done = np.append(0, np.cumsum(after))
-        at = 0
-        while at < len(after):
-            to = max(at + 1, int(np.searchsorted(done, done[at] + 200_000, "right")) - 1)
-            i = np.repeat(np.arange(at, to), after[at:to])
-            j = i + 1 + np.arange(len(i)) - np.repeat(done[at:to] - done[at], after[at:to])
+        for i, j in pairs(bounds([t, cell, low, high])):
             # In a pair of different blocks only rows of different blocks meet; one of the two must be at home here.
             ok = (home[i] | home[j]) & ((low[i] == high[i]) | (block[i] != block[j])) & (ids[i] != ids[j])
             i, j = i[ok], j[ok]
             near = np.einsum("ij,ij->i", unit[i], unit[j]) >= lattice.threshold
             us.append(i[near])
             vs.append(j[near])
-            at = to
         u, v = np.concatenate([np.zeros(0, int), *us]), np.concatenate([np.zeros(0, int), *vs])
         if not len(u):
             return
@@ -202,27 +174,12 @@ def _compared(lattice: Lattice):
         who, at = np.unique(np.concatenate([ids[u], ids[v]]), return_inverse=True)
         count = np.bincount(at, np.concatenate([n[v], n[u]])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(count), pa.nulls(len(who), pa.int64())], names=["id", "n", "other"])
-        x, y = _local_roots(ids[u], ids[v])
+        x, y = spanning(ids[u], ids[v])
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.zeros(len(x), np.int64)), pa.array(y)], names=["id", "n", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for b in batches:
-            held.append(b)
-            count += b.num_rows
-            if count < HELD:
-                continue
-            rows = pa.Table.from_batches(held).combine_chunks()
-            last = [rows.column(c)[-1].as_py() for c in ("t", "cell", "low", "high")]
-            same = np.ones(rows.num_rows, bool)
-            for c, x in zip(("t", "cell", "low", "high"), last, strict=True):
-                same &= rows.column(c).to_numpy() == x
-            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if cut:
-                yield from compare(rows.slice(0, cut))
-            held, count = rows.slice(cut).combine_chunks().to_batches(), rows.num_rows - cut
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+        for rows in whole_groups(batches, ("t", "cell", "low", "high"), HELD):
+            yield from compare(rows)
 
     return run
 
