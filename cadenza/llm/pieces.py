@@ -12,7 +12,6 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -21,7 +20,7 @@ PAD = 40
 #: Pieces up to this many bytes are compared as whole machine words; longer ones are encoded one by one.
 WORDS = 4
 #: Bytes of text that one pass handles; a longer text is a pass of its own, cut into pieces like any other.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 3 << 19
 
 #: Of a piece's k-th machine word, the bits that belong to the piece, by the piece's length.
 _MASKS = [np.array([2 ** (8 * min(8, max(0, n - 8 * k))) - 1 for n in range(8 * WORDS + 1)], np.uint64) for k in range(WORDS)]
@@ -90,6 +89,11 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, runs: bool = False) -> np.ndarray
     return np.flatnonzero(begins)
 
 
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Equal values get equal numbers, from 0 in the order of their first places."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """For each piece its number, and for each number the index of its first piece.
 
@@ -109,7 +113,7 @@ def distinct(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: bool =
         mixed = (mixed ^ word) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     codes = np.empty(n, np.int64)
-    found, _ = pd.factorize(mixed[short])
+    found = numbered(mixed[short])
     codes[short] = found
     top = int(found.max()) + 1 if len(found) else 0
     rest = np.arange(n - len(found))
@@ -143,6 +147,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Library:
+    """The tokenizers library on a file, loaded when a text first needs it."""
+
+    def __get__(self, enc, kind):
+        from tokenizers import Tokenizer
+
+        enc.__dict__["library"] = Tokenizer.from_file(enc.path)
+        return enc.__dict__["library"]
+
+
 class _Encoder:
     """encode(texts): ids of all texts one after another, and how many each has."""
 
@@ -219,13 +233,13 @@ class ByteBPE(_Encoder):
     Its merges run in tiktoken, which gives the same ids faster; texts that hold the inner separator go to the library itself.
     """
 
+    library = _Library()
     #: Fixed value: the byte-level pattern of the vocabulary.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     SEP = "\x00\x02\x01\x02\x00"
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -238,7 +252,7 @@ class ByteBPE(_Encoder):
         joined = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         if any(model["vocab"][m] <= model["vocab"][k] for k, m in zip(joined, joined[1:], strict=False)):
             raise ValueError(f"{path}: ids don't follow the order of merges")
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.mark = max(max(ranks.values()), *special.values()) + 1
         self.core = tiktoken.Encoding("own", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special | {self.SEP: self.mark})
 
@@ -257,13 +271,13 @@ class WordBPE(_Encoder):
     to the library itself.
     """
 
+    library = _Library()
     #: The letters, numbers and white space up to U+017F.
     LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
     ODD = re.compile("[^\x02-ſ]|İ|<\\|")
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -282,7 +296,7 @@ class WordBPE(_Encoder):
             if k in ranks:
                 raise ValueError(f"{path}: two tokens have the same bytes")
             ranks[k], self.ids[rank] = rank, i
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.mark = len(ranks)
         self.core = tiktoken.Encoding("own", pat_str="[^\x00\x01]+\x00", mergeable_ranks=ranks, special_tokens={"\x01": self.mark})
         self.word = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.NUMBERS}]|[^{self.SPACES}{self.LETTERS}{self.NUMBERS}\x01]+")
