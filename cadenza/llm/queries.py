@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+from .bayes_jaccard import op8_bayes_jaccard
 from .e8_neardup import op5_e8_neardup
 from .kd_shards import op3_kd_shards
 from .kneser_ney import op10_kneser_ney
+from .line_dedup import op2_line_dedup
 from .ranked_varint import op4_ranked_varint
 from .sentencepiece_codec import op7_sentencepiece
 from .slack_packing import op6_slack_packing
 from .token_count import op9_token_counts
 from .toxicity_cnn import op1_toxicity_cnn
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_cnn, op3_kd_shards, op4_ranked_varint, op5_e8_neardup, op6_slack_packing, op7_sentencepiece, op9_token_counts, op10_kneser_ney)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity_cnn,
+        op2_line_dedup,
+        op3_kd_shards,
+        op4_ranked_varint,
+        op5_e8_neardup,
+        op6_slack_packing,
+        op7_sentencepiece,
+        op8_bayes_jaccard,
+        op9_token_counts,
+        op10_kneser_ney,
+    )
+}
 
 
 def queries() -> dict:
