@@ -22,6 +22,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = range(3, 9)
 #: Bounds of the training sample: texts of each class, and the bytes of a text that may be drawn.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2500, 4000, 16384
+#: Sample texts that the driver handles at once outside of training steps.
+CHUNK = 100
 _WORD = np.zeros(256, bool)
 _WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _MAX = max(WIDTHS)
@@ -180,11 +182,11 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
     net.table[:, 0] += second - first
     net.table[-1] = 0
     held = np.flatnonzero(fold == 3)
-    z, y = net.logit(_texts([texts[i] for i in held])), labels[held]
+    z, y = np.concatenate([net.logit(_texts([texts[i] for i in held[k : k + CHUNK]])) for k in range(0, len(held), CHUNK)]), labels[held]
     share = max(y.mean(), 1e-6)
     w = np.where(y == 1, prior / share, (1 - prior) / max(1 - share, 1e-6))
     net.scale = _platt(z, y, w)
-    s = net.score(_texts([texts[i] for i in held]))
+    s = 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -40, 40)))
     net.threshold = _best(s, y, w)
     own = np.array([langs[i] or "" for i in held])
     for lang in sorted(set(own)):
@@ -198,12 +200,16 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
 
 def _log_odds(texts: list[bytes], labels: np.ndarray, which: np.ndarray) -> np.ndarray:
     """Log odds of label 1 for texts with each feature; a feature of one or two texts says nothing."""
-    t = _texts([texts[i] for i in which])
-    doc = np.repeat(np.arange(len(which)), np.diff(t.at))
-    seen = np.unique((doc[:, None] * np.int64(BUCKETS + 1) + t.features[t.words]).ravel())
-    doc, bucket = seen // (BUCKETS + 1), seen % (BUCKETS + 1)
     y = labels[which]
-    pos, neg = (np.bincount(bucket[y[doc] == k], minlength=BUCKETS + 1) for k in (1, 0))
+    pos, neg = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
+    for k in range(0, len(which), CHUNK):
+        part = which[k : k + CHUNK]
+        t = _texts([texts[i] for i in part])
+        doc = np.repeat(np.arange(len(part)), np.diff(t.at))
+        seen = np.unique((doc[:, None] * np.int64(BUCKETS + 1) + t.features[t.words]).ravel())
+        toxic = labels[part][seen // (BUCKETS + 1)] == 1
+        pos += np.bincount(seen[toxic] % (BUCKETS + 1), minlength=BUCKETS + 1)
+        neg += np.bincount(seen[~toxic] % (BUCKETS + 1), minlength=BUCKETS + 1)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
     return np.where(pos + neg > 2, np.clip(odds, -1, 5), 0).astype(np.float32)
 
