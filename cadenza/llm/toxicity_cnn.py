@@ -189,7 +189,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
     s = 1 / (1 + np.exp(-np.clip(net.scale[0] * z + net.scale[1], -40, 40)))
     net.threshold = _best(s, y, w)
     own = np.array([langs[i] or "" for i in held])
-    for lang in sorted(set(own)):
+    for lang in sorted(set(own.tolist())):
         here = own == lang
         if min(y[here].sum(), (1 - y[here]).sum()) >= 10:
             net.thresholds[lang] = _best(s[here], y[here], w[here])
