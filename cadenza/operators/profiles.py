@@ -37,7 +37,7 @@ def _lookup(values: dict[str, float], default: float) -> Column:
 def weights(rows: DataFrame, taste: Taste, now: str = NOW) -> DataFrame:
     """Adds decay and weight to signals (user_id, source, track_id, played_at, interaction_count, confidence); a missing time is
     neutral, never dropped."""
-    age = F.greatest(F.lit(0.0), (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros("played_at")) / 86400e6)
+    age = F.greatest(F.lit(0.0), (F.unix_micros(F.to_timestamp(F.lit(now))) - F.unix_micros(F.col("played_at").cast("timestamp"))) / 86400e6)
     decay = F.coalesce(F.exp(-_lookup(taste.decay, 0.0) * age), F.lit(1.0))
     often = F.least(F.greatest(F.coalesce("interaction_count", F.lit(1)), F.lit(1)), F.lit(taste.cap)).cast("double")
     sure = F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.01))
