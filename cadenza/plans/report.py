@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -20,16 +21,18 @@ def rounded(text: str, digits: int) -> str:
 
 @dataclass(frozen=True)
 class Measure:
-    column: Column
+    """column: makes the column (a session is needed only then). sql: the other engine's expression."""
+
+    column: Callable[[], Column]
     sql: str
 
 
 def count(expr: str = "*") -> Measure:
-    return Measure(F.count(F.expr(expr) if expr != "*" else "*"), f"count({expr})")
+    return Measure(lambda: F.count(F.expr(expr) if expr != "*" else "*"), f"count({expr})")
 
 
 def unique(expr: str) -> Measure:
-    return Measure(F.count_distinct(F.expr(expr)), f"count(distinct {expr})")
+    return Measure(lambda: F.count_distinct(F.expr(expr)), f"count(distinct {expr})")
 
 
 def mean(expr: str, digits: int) -> Measure:
@@ -43,15 +46,15 @@ def deviation(expr: str, digits: int) -> Measure:
 
 def quantile(expr: str, p: float, digits: int = 6) -> Measure:
     """Exact, interpolated between neighbours."""
-    return Measure(F.expr(rounded(f"percentile({expr}, {p})", digits)), rounded(f"quantile_cont(cast({expr} as double), {p})", digits))
+    return Measure(lambda: F.expr(rounded(f"percentile({expr}, {p})", digits)), rounded(f"quantile_cont(cast({expr} as double), {p})", digits))
 
 
 def least(expr: str) -> Measure:
-    return Measure(F.min(F.expr(expr)), f"min({expr})")
+    return Measure(lambda: F.min(F.expr(expr)), f"min({expr})")
 
 
 def largest(expr: str) -> Measure:
-    return Measure(F.max(F.expr(expr)), f"max({expr})")
+    return Measure(lambda: F.max(F.expr(expr)), f"max({expr})")
 
 
 def total(expr: str, digits: int) -> Measure:
@@ -59,17 +62,17 @@ def total(expr: str, digits: int) -> Measure:
 
 
 def where(condition: str) -> Measure:
-    return Measure(F.count_if(F.expr(condition)), f"count(case when {condition} then 1 end)")
+    return Measure(lambda: F.count_if(F.expr(condition)), f"count(case when {condition} then 1 end)")
 
 
 def names(expr: str) -> Measure:
     """The different values in order, separated by commas."""
-    return Measure(F.array_join(F.array_sort(F.collect_set(F.expr(expr))), ", "), f"string_agg(distinct {expr}, ', ' order by {expr})")
+    return Measure(lambda: F.array_join(F.array_sort(F.collect_set(F.expr(expr))), ", "), f"string_agg(distinct {expr}, ', ' order by {expr})")
 
 
 def common(expr: str) -> Measure:
     """The most frequent value, the smallest of equals."""
-    return Measure(F.expr(f"mode() within group (order by {expr})"), f"mode({expr} order by {expr})")
+    return Measure(lambda: F.expr(f"mode() within group (order by {expr})"), f"mode({expr} order by {expr})")
 
 
 def bound(expr: str, side: int, digits: int, n: str = "count(*)") -> Measure:
@@ -80,7 +83,7 @@ def bound(expr: str, side: int, digits: int, n: str = "count(*)") -> Measure:
 
 def computed(text: str) -> Measure:
     """Any aggregate expression that both engines read."""
-    return Measure(F.expr(text), text)
+    return Measure(lambda: F.expr(text), text)
 
 
 @dataclass(frozen=True)
@@ -104,7 +107,7 @@ class Report:
         if self.filter:
             rows = rows.where(self.filter)
         if self.measures:
-            rows = rows.groupBy(*[F.expr(e).alias(n) for n, e in self.by.items()]).agg(*[m.column.alias(n) for n, m in self.measures.items()])
+            rows = rows.groupBy(*[F.expr(e).alias(n) for n, e in self.by.items()]).agg(*[m.column().alias(n) for n, m in self.measures.items()])
         else:
             rows = rows.select(*[F.expr(e).alias(n) for n, e in self.by.items()])
         if self.having:
