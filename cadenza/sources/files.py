@@ -40,7 +40,7 @@ def write(df: DataFrame, path: str, mode: str = "overwrite", single: bool = Fals
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     out = (df.coalesce(1) if single else df).write.mode(mode)
     if kind == "csv":
-        out.option("header", True).csv(path)
+        out.options(header=True, quote="\"", escape="\"").csv(path)
     elif kind in ("parquet", "orc", "json"):
         getattr(out, kind)(path)
     else:
