@@ -276,9 +276,13 @@ def jaccard_join(docs: DataFrame, join: Join | None = None, id_col: str = "doc_i
     thin = rows.select(F.col("id").alias("_id"), "sig", "keys")
     unique = staged.write(classes.join(thin, classes["id"] == thin["_id"]).select("id", "n", "sig", "keys"), "unique")
 
-    banded = unique.select("id", "sig", F.explode("keys").alias("key"))
-    counts = unique.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
-    spans = _blocks(banded, ["key"], counts).mapInArrow(_possible(join), "u long, v long")
+    # Signatures follow only the documents that share a bucket with another.
+    banded = unique.select("id", F.explode("keys").alias("key"))
+    counts = banded.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1").select(F.col("key").alias("_key"), "_m")
+    shared = staged.write(banded.join(counts, F.col("key") == F.col("_key")).select("id", "key", "_m"), "shared")
+    counts = shared.select("key", "_m").distinct()
+    signed = shared.select("id", "key").join(unique.select(F.col("id").alias("_id"), "sig"), F.col("id") == F.col("_id")).drop("_id")
+    spans = _blocks(signed, ["key"], counts).mapInArrow(_possible(join), "u long, v long")
     group = components(spans.distinct()).select(F.col("node").alias("_node"), F.col("component").alias("group"))
     members = staged.write(unique.join(group, unique["id"] == group["_node"]).select("id", "n", "sig", "group"), "members")
 
@@ -286,7 +290,7 @@ def jaccard_join(docs: DataFrame, join: Join | None = None, id_col: str = "doc_i
     full = members.join(text, members["id"] == text["_id"]).drop("_id")
     counts = members.groupBy("group").agg(F.count("*").alias("_m"))
     found = staged.write(_blocks(full, ["group"], counts).mapInArrow(_verified(join), "id long, n long, other long"), "links")
-    staged.drop(unique, members)
+    staged.drop(unique, shared, members)
     classed = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
     degree = found.where("other is null").groupBy(F.col("id").alias("_of")).agg(F.sum("n").alias("linked"))
     known = classes.join(degree, classes["id"] == degree["_of"], "left").join(classed, classes["id"] == classed["node"], "left")
