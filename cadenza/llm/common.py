@@ -42,6 +42,8 @@ class Staged:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        # What a staged table was made from needs no shuffle files any more once it is written.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
 
     def path(self, name: str) -> str:

@@ -109,7 +109,6 @@ def write_ids(docs: DataFrame, model: str, folder: str, end_id: int = 1, id_col:
 
     dealt = thin.mapInArrow(encode, "part int, id long, n long, ids binary").repartitionById(max(1, parts), "part").sortWithinPartitions("id", "ids")
     rows = staged.write(dealt.mapInArrow(numbered, "part int, id long, n long, ids binary, before long"), "encoded")
-    spark.sparkContext._jvm.System.gc()  # the encoded ids' shuffle files aren't needed any more
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
