@@ -81,7 +81,7 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, runs: bool = False) -> np.ndarray
         ok = (_ASCII[before] | ((before >= 0x80) & _LATIN[buf[space - 2]])) & (_ASCII[after] | _LATIN[after]) & ~ends[space + 1]
     begins = np.zeros(n + 1, bool)
     begins[space[ok]] = True
-    if not runs:
+    if not runs and n:
         begins[1:n] |= _LETTER[buf[: n - 1]] & _SIGN[buf[1:n]]
         begins[space[ok & (buf[space] == 10)] + 1] = True
     begins[offsets[:-1]] = True
