@@ -39,11 +39,13 @@ def _mix(values: np.ndarray, kind: int) -> np.ndarray:
 @dataclass
 class Texts:
     """Words of some texts: the hashed features of each distinct word (BUCKETS: none), and for each text its words'
-    numbers followed by _MAX - 1 empty ones (number len(features) - 1)."""
+    numbers followed by _MAX empty ones (number len(features) - 1). at: where texts begin; ends: where their last window
+    begins, and one more. A window that begins before that end stays inside of its own text and its empty words."""
 
     features: np.ndarray
     words: np.ndarray
     at: np.ndarray
+    ends: np.ndarray
 
     @classmethod
     def of(cls, buf: np.ndarray, offsets: np.ndarray) -> Texts:
@@ -67,10 +69,10 @@ class Texts:
         for k, size in enumerate(PREFIXES):
             features[:-1, 1 + k] = np.where(length >= size, _mix(head & _MASKS[0][size], size), BUCKETS)
         counts = np.diff(np.searchsorted(starts, offsets))
-        at = np.append(0, np.cumsum(counts + _MAX - 1))
+        at = np.append(0, np.cumsum(counts + _MAX))
         words = np.full(int(at[-1]), len(first), np.int64)
         words[np.repeat(at[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(codes))] = codes
-        return cls(features, words, at)
+        return cls(features, words, at, at[:-1] + np.maximum(counts, 1))
 
 
 @dataclass
@@ -93,8 +95,7 @@ class Network:
             response = taps[0][t.words]
             for k in range(1, width):
                 response[:-k] += taps[k][t.words[k:]]
-            # Windows may not run into the next text: a text's last starts have only empty words of its own after them.
-            top = np.maximum.reduceat(response, t.at[:-1], axis=0)
+            top = np.maximum.reduceat(response, np.stack([t.at[:-1], t.ends], 1).ravel(), axis=0)[::2]
             out.append(np.maximum(top + bias, 0))
             responses.append(response)
         return out, responses
@@ -159,7 +160,7 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
             doc = np.repeat(np.arange(len(batch)), np.diff(t.at))
             for w, (width, top, response) in enumerate(zip(WIDTHS, tops, responses, strict=True)):
                 g = back[:, w * FILTERS : (w + 1) * FILTERS] * (top > 0)
-                reached = response + net.bias[w] >= top[doc]
+                reached = (response + net.bias[w] >= top[doc]) & (np.arange(len(doc)) < t.ends[doc])[:, None]
                 grad = np.zeros_like(net.filters[w])
                 for f in range(FILTERS):
                     at = np.flatnonzero(reached[:, f])
