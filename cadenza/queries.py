@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import evaluation, matching, profiles, quality, recommend, statistics, transforms, windows  # noqa: F401
+from .operators import evaluation, listeners, matching, profiles, quality, recommend, statistics, transforms, windows  # noqa: F401
 from .operators.registry import ORACLES, QUERIES
 from .operators.reports import REPORTS
 from .sources.catalog import Catalog
