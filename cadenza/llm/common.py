@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
+import site
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +46,7 @@ class Staged:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         # What a staged table was made from needs no shuffle files any more once it is written.
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.spark, self.root, self.n, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, {}
@@ -74,8 +79,23 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         remove(spark, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, unless their search path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    if any(p and Path(p).resolve() == root for p in found) or getattr(spark.sparkContext, "_cadenza_sent", False):
+        return
+    folder = tempfile.mkdtemp(prefix="cadenza-")
+    with zipfile.ZipFile(f"{folder}/cadenza.zip", "w") as z:
+        for f in (root / "cadenza").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(f"{folder}/cadenza.zip")
+    spark.sparkContext._cadenza_sent = True
+
+
 def bounded_batches(spark: SparkSession, records: int = 2000, mb: int = 4) -> None:
     """Holds Arrow batches to so many rows and bytes, so that long texts can't fill a worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 

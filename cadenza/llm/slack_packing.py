@@ -39,6 +39,7 @@ def token_pieces(docs: DataFrame, model: str, capacity: int = 2048, end_id: int
             ids_of = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), pieces)))
             yield pa.RecordBatch.from_arrays([ids_of, pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    common.ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, PIECES)
 
 

@@ -29,6 +29,7 @@ def token_counts(docs: DataFrame, model: str, kind: str = "byte", id_col: str =
             size = np.diff(text_bytes(b.column(1))[1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
+    common.ship(docs.sparkSession)
     kept = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return kept.mapInArrow(lengths, "id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 

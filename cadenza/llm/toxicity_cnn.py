@@ -261,6 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network:
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text. Null and empty texts get the score of a text without words."""
+    common.ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS x DIM floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
