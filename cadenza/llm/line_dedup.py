@@ -7,7 +7,7 @@ whatever is still in different components is verified pair by pair, so no link i
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,93 +22,122 @@ THRESHOLD = 0.8
 MIN_BYTES = 24
 
 
-def _band_keys(hashes: Column) -> Column:
-    """One key for each band: the band's MinHash values together. A value is the least of all hashes after an exclusive or."""
-    rng = random.Random(2)
-    least = [F.array_min(F.transform(hashes, lambda x, c=rng.getrandbits(31): x.bitwiseXOR(F.lit(c)))) for _ in range(BANDS * ROWS)]
-    return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, also where use has it inside of a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _jaccard_reached(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both >= F.lit(THRESHOLD) * (F.size(a) + F.size(b) - both) - F.lit(1e-9)
+def _normal(raw: Column) -> Column:
+    """Lower case, no spaces at the ends."""
+    return F.lower(F.trim(raw))
 
 
-def _verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+def _shingles(line: Column) -> Column:
+    """Hashes (even, not negative) of the windows of WIDTH characters that begin at words."""
+    windows = F.regexp_extract_all(F.concat(F.lit(" "), line, F.lit(" " * WIDTH)), F.lit(" (?=([^ ].{%d}))" % (WIDTH - 1)), F.lit(1))
+    return F.transform(windows, lambda x: F.hash(x).bitwiseAND(F.lit(2**31 - 2)))
+
+
+def _with_keys(lines: DataFrame) -> DataFrame:
+    """lines with h (their shingles' hashes) replaced by keys: one key for each band, its MinHash values together.
+
+    A value is the first hash at or after a mark on the ring of hashes. Whichever shingle of two sets that is, it is one of
+    their union with equal chance, so both have it with the chance of their Jaccard similarity. Marks are odd and hashes even:
+    a mark's place in the sorted union of both, less the marks before it, says how many hashes are smaller.
+    """
+    n = BANDS * ROWS
+    marks = F.array(*[F.lit(int((k + 0.5) * 2**31 / n) | 1) for k in range(n)])
+    ranked = lines.withColumn("h", F.sort_array("h")).withColumn("_merged", F.sort_array(F.concat("h", marks)))
+    is_mark = lambda at: F.get("_merged", at).bitwiseAND(F.lit(1)) == F.lit(1)
+    places = F.filter(F.sequence(F.lit(0), F.size("_merged") - F.lit(1)), is_mark)
+    least = F.transform(places, lambda at, k: F.get("h", F.pmod(at - k, F.size("h"))))
+    # Marks of a band lie far apart, so that few of them share a hash where a line is short.
+    keys = _let(least, lambda v: F.array(*[F.xxhash64(F.lit(b), *[F.get(v, F.lit(k)) for k in range(b, n, BANDS)]) for b in range(BANDS)]))
+    return ranked.withColumn("keys", keys).drop("h", "_merged")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (u, v) those whose shingles reach the threshold."""
-    left = hashes.select(F.col("k").alias("_u"), F.col("h").alias("_hu"))
-    right = hashes.select(F.col("k").alias("_v"), F.col("h").alias("_hv"))
+    left = texts.select(F.col("k").alias("_u"), F.col("line").alias("_lu"), F.col("size").alias("_su"))
+    right = texts.select(F.col("k").alias("_v"), F.col("line").alias("_lv"), F.col("size").alias("_sv"))
     joined = pairs.join(left, F.col("u") == F.col("_u")).join(right, F.col("v") == F.col("_v"))
-    return joined.where(_jaccard_reached(F.col("_hu"), F.col("_hv"))).select("u", "v")
+    # both / (su + sv - both) >= t, with both only once.
+    both = F.size(F.array_intersect(_shingles(F.col("_lu")), _shingles(F.col("_lv"))))
+    joined = joined.where(_fits("_su", "_sv"))
+    return joined.where(both >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("_su") + F.col("_sv")) - F.lit(1e-9)).select("u", "v")
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sets that differ more in size than the threshold allows can't reach it."""
+    return F.least(a, b) >= F.lit(THRESHOLD) * F.greatest(a, b) - F.lit(1e-9)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Staged]:
     """(id, removed array<int>): numbers (from 0, split at newlines) of each text's lines that repeat an earlier one."""
     spark = docs.sparkSession
     staged = common.Staged(spark, "lines")
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "raw"))
-    lines = lines.where(F.octet_length("raw") >= MIN_BYTES).select("id", "at", F.lower(F.trim("raw")).alias("line")).where(F.octet_length("line") >= MIN_BYTES)
-    windows = F.regexp_extract_all(F.concat(F.lit(" "), F.col("line"), F.lit(" " * WIDTH)), F.lit(" (?=([^ ].{%d}))" % (WIDTH - 1)), F.lit(1))
-    hashes = F.array_distinct(F.transform(windows, lambda x: F.hash(x).bitwiseAND(F.lit(2**31 - 1))))
+    known_ids = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    lines = known_ids.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "raw"))
     # A place is one number, so that hash aggregation finds the first.
     place = F.col("id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at")
-    sketched = lines.select("id", "at", place.cast("decimal(38,0)").alias("place"), F.xxhash64("line").alias("k"), hashes.alias("h")).withColumn("keys", _band_keys(F.col("h")))
-    rows = staged.write(sketched, "lines")
+    lines = lines.where(F.octet_length("raw") >= MIN_BYTES).select("id", "at", place.cast("decimal(38,0)").alias("place"), _normal(F.col("raw")).alias("line")).where(F.octet_length("line") >= MIN_BYTES)
+    sketched = lines.select("id", "at", "place", F.xxhash64("line").alias("k"), _shingles(F.col("line")).alias("h"))
+    rows = staged.write(_with_keys(sketched), "lines")
 
     # Equal lines have equal keys and meet in part before the shuffle. The distinct key does not say how many lines it has,
     # but whether it has two.
-    banded = rows.select("k", F.size("h").cast("short").alias("size"), F.explode("keys").alias("key"))
+    banded = rows.select("k", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last")
     buckets = staged.write(buckets.select(F.col("key").alias("_key"), "leader"), "leaders")
-    shared = banded.join(buckets, F.col("key") == F.col("_key")).select("k", "key", "leader", "size").distinct()
+    shared = banded.join(buckets, F.col("key") == F.col("_key")).select("k", "key", "leader").distinct()
     shared = staged.write(shared, "buckets")
     staged.drop(buckets)
-    involved = shared.select(F.col("k").alias("_k")).distinct()
-    hashes = rows.join(involved, F.col("k") == F.col("_k"), "left_semi").groupBy("k").agg(F.first("h").alias("h"))
-    hashes = staged.write(hashes, "hashes")
-    # From here on places are all that is needed of every line.
+    # From here on places are all that is needed of every line, and the texts of those that share a bucket.
     sketched = rows
     rows = staged.write(sketched.select("id", "at", "place", "k"), "places")
     staged.drop(sketched)
+    firsts = staged.write(rows.groupBy("k").agg(F.min("place").alias("first"), F.count("*").alias("n")), "firsts")
+    involved = shared.select(F.col("k").alias("_k")).distinct()
+    involved = firsts.join(involved, F.col("k") == F.col("_k")).select("k", "first")
+    texts = lines.select("place", "line").join(involved, F.col("place") == F.col("first"))
+    texts = staged.write(texts.select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).cast("short").alias("size")), "texts")
     stars = shared.where("k <> leader").select(F.col("leader").alias("u"), F.col("k").alias("v")).distinct()
-    links = staged.write(_verified(stars, hashes), "links")
+    links = staged.write(_verified(stars, texts), "links")
     for again in (True, False):
         known = components(links).select(F.col("node").alias("_n"), "component")
         if not again:
             break
         # Lines of a bucket that are still apart from its leader's component meet all other lines of the bucket.
-        placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "key", "leader", "size", F.coalesce("component", "k").alias("c"))
+        sizes = texts.select(F.col("k").alias("_k"), "size")
+        placed = shared.join(known, F.col("k") == F.col("_n"), "left").join(sizes, F.col("k") == F.col("_k")).select("k", "key", "leader", "size", F.coalesce("component", "k").alias("c"))
         placed = staged.write(placed, "placed")
         heads = placed.where("k = leader").select(F.col("key").alias("_key"), F.col("c").alias("head"))
         apart = placed.join(heads, F.col("key") == F.col("_key")).where("c <> head").select(F.col("key").alias("_key"), F.col("k").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"))
-        # Sets that differ more in size than the threshold allows can't reach it.
-        fits = F.least("size", "su") >= F.lit(THRESHOLD) * F.greatest("size", "su") - F.lit(1e-9)
         # Where both are apart from the leader, the pair is looked at once.
         once = (F.col("c") == F.col("head")) | (F.col("u") < F.col("k"))
-        cross = apart.join(placed.join(heads.withColumnRenamed("_key", "_of"), F.col("key") == F.col("_of")), F.col("_key") == F.col("key")).where((F.col("c") != F.col("cu")) & fits & once)
-        more = _verified(cross.select(F.least("u", "k").alias("u"), F.greatest("u", "k").alias("v")).distinct(), hashes)
+        cross = apart.join(placed.join(heads.withColumnRenamed("_key", "_of"), F.col("key") == F.col("_of")), F.col("_key") == F.col("key")).where((F.col("c") != F.col("cu")) & _fits("size", "su") & once)
+        more = _verified(cross.select(F.least("u", "k").alias("u"), F.greatest("u", "k").alias("v")).distinct(), texts)
         links = staged.write(links.unionByName(more), "links")
         staged.drop(placed)
 
     # The first place of each component stays; of a line without links, its own first place.
-    grouped = rows.groupBy("k").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    grouped = grouped.join(known, F.col("k") == F.col("_n"), "left").where("n > 1 or component is not null").select("k", "first", F.coalesce("component", "k").alias("c"))
+    grouped = firsts.join(known, F.col("k") == F.col("_n"), "left").where("n > 1 or component is not null").select("k", "first", F.coalesce("component", "k").alias("c"))
     grouped = staged.write(grouped, "grouped")
     kept = grouped.groupBy("c").agg(F.min("first").alias("kept")).withColumnRenamed("c", "_c")
     of_line = grouped.join(kept, F.col("c") == F.col("_c")).select(F.col("k").alias("_k"), "kept")
     places = rows.select("id", "at", "place", "k").join(of_line, F.col("k") == F.col("_k")).where("place <> kept")
     removed = places.groupBy("id").agg(F.collect_set("at").alias("removed"))
     out = staged.write(removed, "removed")
-    staged.drop(rows, shared, hashes, grouped)
+    staged.drop(rows, shared, texts, firsts, grouped)
     return out, staged
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines taken out, and n_removed (int): how many.
 
-    Lines are compared in lower case and without spaces at their ends; those under MIN_BYTES bytes stay. Of the lines of a component the one with the smallest (id, line number) stays, so a
-    document may end up with an empty text but is never dropped. Null texts and ids stay as they are; ids are taken to be
-    distinct; other columns pass through, also if they are called like columns used inside.
+    Lines are compared in lower case and without spaces at their ends; those under MIN_BYTES bytes stay. Of the lines of a
+    component the one with the smallest (id, line number) stays, so a document may end up with an empty text but is never
+    dropped. Null texts and ids stay as they are; ids are taken to be distinct; other columns pass through, also if they are called like columns used inside.
     """
     removed, staged = removed_lines(docs, id_col, text_col)
     right = removed.select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))

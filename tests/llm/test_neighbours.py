@@ -172,6 +172,38 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def windows(line, n=9):
+    return {line[k : k + n] for k in range(max(1, len(line) - n + 1))}
+
+
+def jaccard(a, b):
+    return len(windows(a) & windows(b)) / len(windows(a) | windows(b))
+
+
+def removed(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return {r.doc_id for r in line_dedup.dedup_lines(df).where("n_removed > 0").collect()}
+
+
+def test_recall_of_near_lines(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, kinds = [], {"substituted": [], "inserted": []}
+    for kind, found in kinds.items():
+        while len(found) < 300:
+            a = [word() for _ in range(rng.randrange(12, 60))]
+            b, at = list(a), rng.randrange(len(a))
+            b[at : at + (kind == "substituted")] = [word()]
+            a, b = " ".join(a), " ".join(b)
+            if 0.8 <= jaccard(a, b) <= 0.95:
+                found.append(len(rows) + 1)
+                rows += [a, b]
+    gone = removed(spark, rows)
+    assert all(k % 2 for k in gone)
+    for found in kinds.values():
+        assert len(gone & set(found)) >= 0.98 * len(found)
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(k, "w" * rng.randrange(0, 200) + str(rng.randrange(10**6)) + "\n" * rng.randrange(5)) for k in range(600)] + [(600 + k, "copy") for k in range(10)] + [(700, None), (701, ""), (702, "é" * 50)]
