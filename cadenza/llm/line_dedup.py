@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
-A line's shingles are the windows of WIDTH characters that begin at its words (lower case, padded at the end). MinHash values
+A line's shingles are its windows of WIDTH characters, one at every character (lower case). MinHash values
 over them are banded; lines of a band's bucket are first verified against the bucket's smallest line, and after union-find
 whatever is still in different components is verified pair by pair, so no link is lost. One line of each component stays.
 """
@@ -33,9 +33,11 @@ def _normal(raw: Column) -> Column:
 
 
 def _shingles(line: Column) -> Column:
-    """Hashes (even, not negative) of the windows of WIDTH characters that begin at words."""
-    windows = F.regexp_extract_all(F.concat(F.lit(" "), line, F.lit(" " * WIDTH)), F.lit(" (?=([^ ].{%d}))" % (WIDTH - 1)), F.lit(1))
-    return F.transform(windows, lambda x: F.hash(x).bitwiseAND(F.lit(2**31 - 2)))
+    """Hashes (even, not negative) of the windows of WIDTH characters at every character; a shorter line is one window."""
+    last = F.greatest(F.lit(4) * F.length(line) - F.lit(4 * WIDTH - 1), F.lit(1))
+    window = lambda wide, at: F.hash(F.substring(wide, at, F.lit(4 * WIDTH))).bitwiseAND(F.lit(2**31 - 2))
+    # Four bytes a character, so that a window is found without counting characters.
+    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: window(wide, at)))
 
 
 def _with_keys(lines: DataFrame) -> DataFrame:

@@ -204,6 +204,17 @@ def test_recall_of_near_lines(spark):
         assert len(gone & set(found)) >= 0.98 * len(found)
 
 
+def test_lines_without_spaces(spark):
+    rng = random.Random(12)
+    url = ["https://www.example.org/" + "".join(rng.choice("abcdefghij/") for _ in range(60)) for _ in range(6)]
+    han = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(80)) for _ in range(3)]
+    odd = ["\u2028".join("abcdefgh"[k : k + 3] * 2 for k in range(j, j + 5)) for j in (0, 1)]
+    near = [url[0][:-1] + "#", han[0][:70] + han[0][69:], han[0][:40] + han[1][40:], "短" * 8, "長" * 8, "x" * 24 + url[1]]
+    rows = url + han + odd + near
+    want = {b for b in range(len(rows)) if any(jaccard(rows[a], rows[b]) >= 0.8 for a in range(b))}
+    assert removed(spark, rows) == want == {11, 12, 16}
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(k, "w" * rng.randrange(0, 200) + str(rng.randrange(10**6)) + "\n" * rng.randrange(5)) for k in range(600)] + [(600 + k, "copy") for k in range(10)] + [(700, None), (701, ""), (702, "é" * 50)]
