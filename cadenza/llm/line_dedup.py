@@ -102,7 +102,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     involved = shared.select(F.col("k").alias("_k")).distinct()
     involved = firsts.join(involved, F.col("k") == F.col("_k")).select("k", "first")
     texts = lines.select("place", "line").join(involved, F.col("place") == F.col("first"))
-    texts = staged.write(texts.select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).cast("short").alias("size")), "texts")
+    texts = staged.write(texts.select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).alias("size")), "texts")
     stars = shared.where("k <> leader").select(F.col("leader").alias("u"), F.col("k").alias("v")).distinct()
     links = staged.write(_verified(stars, texts), "links")
     for again in (True, False):

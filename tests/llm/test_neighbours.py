@@ -215,6 +215,12 @@ def test_lines_without_spaces(spark):
     assert removed(spark, rows) == want == {11, 12, 16}
 
 
+def test_line_of_many_words(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40000)]
+    assert removed(spark, [" ".join(words), " ".join(words[:100] + ["other"] + words[100:]), " ".join(words[:20000])]) == {1}
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(k, "w" * rng.randrange(0, 200) + str(rng.randrange(10**6)) + "\n" * rng.randrange(5)) for k in range(600)] + [(600 + k, "copy") for k in range(10)] + [(700, None), (701, ""), (702, "é" * 50)]
