@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
-A line's shingles are its windows of WIDTH characters, one at every character (lower case). MinHash values
+A line's shingles are its windows of WIDTH characters, one at every character (lower case, white space folded). MinHash values
 over them are banded; lines of a band's bucket are first verified against the bucket's smallest line, and after union-find
 whatever is still in different components is verified pair by pair, so no link is lost. One line of each component stays.
 """
@@ -28,8 +28,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _normal(raw: Column) -> Column:
-    """Lower case, no spaces at the ends."""
-    return F.lower(F.trim(raw))
+    """Lower case, white space folded to single spaces, none at the ends."""
+    return F.lower(F.trim(F.regexp_replace(raw, r"\s{2,}|[^\S ]", " ")))
 
 
 def _shingles(line: Column) -> Column:
@@ -137,7 +137,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines taken out, and n_removed (int): how many.
 
-    Lines are compared in lower case and without spaces at their ends; those under MIN_BYTES bytes stay. Of the lines of a
+    Lines are compared in lower case and with white space folded; those under MIN_BYTES bytes stay. Of the lines of a
     component the one with the smallest (id, line number) stays, so a document may end up with an empty text but is never
     dropped. Null texts and ids stay as they are; ids are taken to be distinct; other columns pass through, also if they are called like columns used inside.
     """

@@ -221,6 +221,11 @@ def test_line_of_many_words(spark):
     assert removed(spark, [" ".join(words), " ".join(words[:100] + ["other"] + words[100:]), " ".join(words[:20000])]) == {1}
 
 
+def test_white_space_of_lines_is_folded(spark):
+    line = "one line with\ttabs and  spaces"
+    assert removed(spark, [line, " ".join(line.split()) + "\r", "\t" + line.upper(), "another line of some words"]) == {1, 2}
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(k, "w" * rng.randrange(0, 200) + str(rng.randrange(10**6)) + "\n" * rng.randrange(5)) for k in range(600)] + [(600 + k, "copy") for k in range(10)] + [(700, None), (701, ""), (702, "é" * 50)]
