@@ -16,7 +16,7 @@ from . import common
 from .components import components
 
 WIDTH = 9
-BANDS, ROWS = 6, 3
+BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
 #: Lines with fewer bytes are no passages and stay as they are.
 MIN_BYTES = 24
