@@ -126,7 +126,7 @@ def encode_spans(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 def codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256, decoded_sha256, aligned: with begin and end ids, decoded by the library.
 
-    aligned: the spans of the pieces follow one another from the text's first byte to its last. Null texts count as empty
+    aligned: the widths of the pieces add up to the width of the text; no spans are computed here. Null texts count as empty
     (begin and end id only, decoded to nothing, aligned). Repeated rows stay; other columns aren't read.
     """
 
