@@ -58,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("lines", lines), ("duplicates", duplicates), ("packing", packing)]
 
-#: Neither models nor tokenizers can be put in SQL; tests hold each stage against a brute-force version.
+#: Neither models nor tokenizers can be put in SQL; tests run quality, lines and packing on rows, and all stages on none.
 ORACLE_SQL = None
 
 

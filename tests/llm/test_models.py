@@ -142,3 +142,17 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, folder).count() == 0
+
+
+def test_stage_lines_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    a, b, c = ([word() for _ in range(30)] for _ in range(3))
+    rows = [(1, [a, b]), (2, [a[:9] + ["inserted"] + a[9:], c]), (3, [b[:9] + ["changed"] + b[10:]])]
+    rows = [(k, "\n".join(map(" ".join, x)), "en", "s", 5) for k, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert out.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {1: (rows[0][1], 5), 2: (" ".join(c), len(" ".join(c))), 3: ("", 0)}
