@@ -100,6 +100,14 @@ def bounded_batches(spark: SparkSession, records: int = 2000, mb: int = 4) -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """So many column names that df does not have, whatever its columns are called."""
+    used, k = [c.lower() for c in df.columns], 0
+    while any(c.startswith(f"added{k}_") for c in used):
+        k += 1
+    return [f"added{k}_{i}" for i in range(n)]
+
+
 def crc32_text(column) -> F.Column:
     """Unsigned CRC-32 of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(column, F.lit("")), "UTF-8"))

@@ -1,13 +1,17 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
-A line's shingles are its windows of WIDTH characters, one at every character (lower case, white space folded). MinHash values
-over them are banded; lines of a band's bucket are first verified against the bucket's smallest line, and after union-find
-whatever is still in different components is verified pair by pair, so no link is lost. One line of each component stays.
+A line's shingles are its windows of WIDTH characters, one at every character (lower case, white space folded). Equal lines are
+one node. MinHash values over the shingles are banded into buckets, and lines of a bucket are verified exactly against its
+smallest line. Buckets that still hold more than one component are split by further MinHash values, one more at each depth, and
+the lines of each part are verified against its two ends. So the pairs grow with the lines and not with the square of a bucket,
+however many lines share it. Union-find over the verified links gives the components, and one line of each stays.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +22,17 @@ from .components import components
 WIDTH = 9
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
-#: Lines with fewer bytes are no passages and stay as they are.
-MIN_BYTES = 24
+#: MinHash values beyond a band's own that split a bucket of several components.
+DEPTHS = 8
+#: Orders in which these values are taken.
+ORDERS = 3
+#: Windows that one row of the sketch hashes.
+STEP = 8
+_VALUES = BANDS * ROWS
+#: A value reads the shingle's hash from one of these bits on, so that neighbouring values order shingles independently.
+_SHIFTS = (0, 11, 22, 33)
+_LOW = 2**31 - 1
+_BLANKS = ("  ", "\t", "\r", "\f", "\x0b")
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -29,126 +42,162 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _normal(raw: Column) -> Column:
     """Lower case, white space folded to single spaces, none at the ends."""
-    return F.lower(F.trim(F.regexp_replace(raw, r"\s{2,}|[^\S ]", " ")))
+    odd = reduce(lambda a, b: a | b, [F.contains(raw, F.lit(b)) for b in _BLANKS])
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw)))
+
+
+def _last(wide: Column) -> Column:
+    """Where the last window of a text in four bytes a character begins; a shorter text is one window."""
+    return F.greatest(F.length(wide) - F.lit(4 * WIDTH - 1), F.lit(1))
+
+
+def _window(wide: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(wide, at, F.lit(4 * WIDTH)))
 
 
 def _shingles(line: Column) -> Column:
-    """Hashes (even, not negative) of the windows of WIDTH characters at every character; a shorter line is one window."""
-    last = F.greatest(F.lit(4) * F.length(line) - F.lit(4 * WIDTH - 1), F.lit(1))
-    window = lambda wide, at: F.hash(F.substring(wide, at, F.lit(4 * WIDTH))).bitwiseAND(F.lit(2**31 - 2))
-    # Four bytes a character, so that a window is found without counting characters.
-    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda at: window(wide, at)))
+    """64-bit hashes of the windows at every character."""
+    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), _last(wide), F.lit(4)), lambda at: _window(wide, at)))
 
 
-def _with_keys(lines: DataFrame) -> DataFrame:
-    """lines with h (their shingles' hashes) replaced by keys: one key for each band, its MinHash values together.
+def _minhash(lines: DataFrame) -> DataFrame:
+    """(k, mark, many, v array<int>) of lines (k, mark, line): _VALUES MinHash values for each distinct k, many if it has
+    different marks, and the smallest of them.
 
-    A value is the first hash at or after a mark on the ring of hashes. Whichever shingle of two sets that is, it is one of
-    their union with equal chance, so both have it with the chance of their Jaccard similarity. Marks are odd and hashes even:
-    a mark's place in the sorted union of both, less the marks before it, says how many hashes are smaller.
+    Windows become rows, STEP of them in each, and are summed up before the shuffle; texts do not move. A value is the least of
+    31 bits of the shingle's hash, XORed with a constant; constants that read the same bits differ in their leading ones.
     """
-    n = BANDS * ROWS
-    marks = F.array(*[F.lit(int((k + 0.5) * 2**31 / n) | 1) for k in range(n)])
-    ranked = lines.withColumn("h", F.sort_array("h")).withColumn("_merged", F.sort_array(F.concat("h", marks)))
-    is_mark = lambda at: F.get("_merged", at).bitwiseAND(F.lit(1)) == F.lit(1)
-    places = F.filter(F.sequence(F.lit(0), F.size("_merged") - F.lit(1)), is_mark)
-    least = F.transform(places, lambda at, k: F.get("h", F.pmod(at - k, F.size("h"))))
-    # Marks of a band lie far apart, so that few of them share a hash where a line is short.
-    keys = _let(least, lambda v: F.array(*[F.xxhash64(F.lit(b), *[F.get(v, F.lit(k)) for k in range(b, n, BANDS)]) for b in range(BANDS)]))
-    return ranked.withColumn("keys", keys).drop("h", "_merged")
+    rng = random.Random(17)
+    wide = lines.select("k", "mark", F.encode("line", "UTF-32").alias("wide"))
+    starts = wide.select("k", "mark", "wide", F.explode(F.sequence(F.lit(1), _last(F.col("wide")), F.lit(4 * STEP))).alias("p"))
+    # Beyond the last window, that one is taken again.
+    at = [F.least(F.col("p") + F.lit(4 * j), _last(F.col("wide"))) for j in range(STEP)]
+    hashed = starts.select("k", "mark", *[_window(F.col("wide"), a).alias(f"h{j}") for j, a in enumerate(at)])
+    bits = [F.shiftrightunsigned(f"h{j}", s).bitwiseAND(F.lit(_LOW)).cast("int").alias(f"x{i}_{j}") for i, s in enumerate(_SHIFTS) for j in range(STEP)]
+    values, share = [], _VALUES // len(_SHIFTS)
+    for n in range(_VALUES):
+        flip = F.lit(int((n // len(_SHIFTS) + rng.random()) / share * 2**31))
+        values.append(F.min(F.least(*[F.col(f"x{n % len(_SHIFTS)}_{j}").bitwiseXOR(flip) for j in range(STEP)])).alias(f"v{n}"))
+    ranked = hashed.select("k", "mark", *bits).groupBy("k").agg(F.min("mark").alias("mark"), F.max("mark").alias("_last"), *values)
+    return ranked.select("k", "mark", (F.col("mark") != F.col("_last")).alias("many"), F.array(*[f"v{n}" for n in range(_VALUES)]).alias("v"))
+
+
+def _bands() -> Column:
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col("v")[ROWS * b + r] for r in range(ROWS)]) for b in range(BANDS)])
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sets that differ more in size than the threshold allows can't reach it."""
+    return F.least(a, b) >= F.lit(THRESHOLD) * F.greatest(a, b) - F.lit(1e-9)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (u, v) those whose shingles reach the threshold."""
     left = texts.select(F.col("k").alias("_u"), F.col("line").alias("_lu"), F.col("size").alias("_su"))
     right = texts.select(F.col("k").alias("_v"), F.col("line").alias("_lv"), F.col("size").alias("_sv"))
-    joined = pairs.join(left, F.col("u") == F.col("_u")).join(right, F.col("v") == F.col("_v"))
+    joined = pairs.join(left, F.col("u") == F.col("_u")).join(right, F.col("v") == F.col("_v")).where(_fits("_su", "_sv"))
     # both / (su + sv - both) >= t, with both only once.
     both = F.size(F.array_intersect(_shingles(F.col("_lu")), _shingles(F.col("_lv"))))
-    joined = joined.where(_fits("_su", "_sv"))
     return joined.where(both >= F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("_su") + F.col("_sv")) - F.lit(1e-9)).select("u", "v")
 
 
-def _fits(a: str, b: str) -> Column:
-    """Sets that differ more in size than the threshold allows can't reach it."""
-    return F.least(a, b) >= F.lit(THRESHOLD) * F.greatest(a, b) - F.lit(1e-9)
+def _ends(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each key's smallest and largest k with its other members."""
+    ends = members.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").withColumnRenamed("key", "_key")
+    joined = members.join(ends, F.col("key") == F.col("_key"))
+    both = joined.select("k", F.explode(F.array("low", "high")).alias("end")).where("k <> end")
+    return both.select(F.least("k", "end").alias("u"), F.greatest("k", "end").alias("v")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Staged]:
-    """(id, removed array<int>): numbers (from 0, split at newlines) of each text's lines that repeat an earlier one."""
-    spark = docs.sparkSession
-    staged = common.Staged(spark, "lines")
-    known_ids = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    lines = known_ids.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "raw"))
-    # A place is one number, so that hash aggregation finds the first.
-    place = F.col("id").cast("decimal(38,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("at")
-    lines = lines.where(F.octet_length("raw") >= MIN_BYTES).select("id", "at", place.cast("decimal(38,0)").alias("place"), _normal(F.col("raw")).alias("line")).where(F.octet_length("line") >= MIN_BYTES)
-    sketched = lines.select("id", "at", "place", F.xxhash64("line").alias("k"), _shingles(F.col("line")).alias("h"))
-    rows = staged.write(_with_keys(sketched), "lines")
-
-    # Equal lines have equal keys and meet in part before the shuffle. The distinct key does not say how many lines it has,
-    # but whether it has two.
-    banded = rows.select("k", F.explode("keys").alias("key"))
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, version, at, k, mark, line) of all lines that are not blank; a null id comes last, mark tells places apart."""
+    thin = docs.where(docs[text_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
+    raw = thin.select("id", "version", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    lines = raw.select("id", "version", "at", _normal(F.col("raw")).alias("line")).where("line <> ''")
+    return lines.select("id", "version", "at", F.xxhash64("line").alias("k"), F.xxhash64("id", "version", "at").alias("mark"), "line")
+
+
+def _links(lines: DataFrame, staged: common.Staged) -> tuple[DataFrame, DataFrame]:
+    """(sketch, components of different lines' nodes)."""
+    sketch = staged.write(_minhash(lines.select("k", "mark", "line")), "sketch")
+    banded = sketch.select("k", F.posexplode(_bands()).alias("b", "key"))
     buckets = banded.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last")
-    buckets = staged.write(buckets.select(F.col("key").alias("_key"), "leader"), "leaders")
-    shared = banded.join(buckets, F.col("key") == F.col("_key")).select("k", "key", "leader").distinct()
-    shared = staged.write(shared, "buckets")
-    staged.drop(buckets)
-    # From here on places are all that is needed of every line, and the texts of those that share a bucket.
-    sketched = rows
-    rows = staged.write(sketched.select("id", "at", "place", "k"), "places")
-    staged.drop(sketched)
-    firsts = staged.write(rows.groupBy("k").agg(F.min("place").alias("first"), F.count("*").alias("n")), "firsts")
-    involved = shared.select(F.col("k").alias("_k")).distinct()
-    involved = firsts.join(involved, F.col("k") == F.col("_k")).select("k", "first")
-    texts = lines.select("place", "line").join(involved, F.col("place") == F.col("first"))
+    buckets = buckets.select(F.col("key").alias("_key"), "leader")
+    shared = staged.write(banded.join(buckets, F.col("key") == F.col("_key")).select("k", "b", "key", "leader"), "buckets")
+    involved = shared.select("k").distinct()
+    involved = sketch.join(involved.withColumnRenamed("k", "_k"), F.col("k") == F.col("_k")).select("_k", F.col("mark").alias("_mark"))
+    texts = lines.select("k", "mark", "line").join(involved, (F.col("k") == F.col("_k")) & (F.col("mark") == F.col("_mark")))
     texts = staged.write(texts.select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).alias("size")), "texts")
+
     stars = shared.where("k <> leader").select(F.col("leader").alias("u"), F.col("k").alias("v")).distinct()
     links = staged.write(_verified(stars, texts), "links")
-    for again in (True, False):
-        known = components(links).select(F.col("node").alias("_n"), "component")
-        if not again:
-            break
-        # Lines of a bucket that are still apart from its leader's component meet all other lines of the bucket.
-        sizes = texts.select(F.col("k").alias("_k"), "size")
-        placed = shared.join(known, F.col("k") == F.col("_n"), "left").join(sizes, F.col("k") == F.col("_k")).select("k", "key", "leader", "size", F.coalesce("component", "k").alias("c"))
-        placed = staged.write(placed, "placed")
-        heads = placed.where("k = leader").select(F.col("key").alias("_key"), F.col("c").alias("head"))
-        apart = placed.join(heads, F.col("key") == F.col("_key")).where("c <> head").select(F.col("key").alias("_key"), F.col("k").alias("u"), F.col("c").alias("cu"), F.col("size").alias("su"))
-        # Where both are apart from the leader, the pair is looked at once.
-        once = (F.col("c") == F.col("head")) | (F.col("u") < F.col("k"))
-        cross = apart.join(placed.join(heads.withColumnRenamed("_key", "_of"), F.col("key") == F.col("_of")), F.col("_key") == F.col("key")).where((F.col("c") != F.col("cu")) & _fits("size", "su") & once)
-        more = _verified(cross.select(F.least("u", "k").alias("u"), F.greatest("u", "k").alias("v")).distinct(), texts)
-        links = staged.write(links.unionByName(more), "links")
-        staged.drop(placed)
+    known = components(links).select(F.col("node").alias("_n"), "component")
+    # Buckets of one component are settled; in the others lines meet again in ever smaller parts.
+    placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "b", "key", F.coalesce("component", "k").alias("c"))
+    placed = staged.write(placed, "placed")
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
+    rest = placed.join(open_, F.col("key") == F.col("_key")).select("k", "b", "key")
+    values = sketch.select(F.col("k").alias("_k"), "v")
+    rest = rest.join(values, F.col("k") == F.col("_k"))
+    # The values after a band's own, in steps that have no divisor in common with their number.
+    value = lambda d, step: F.get("v", F.pmod(F.col("b") * ROWS + (ROWS + d) * step, F.lit(_VALUES)).cast("int"))
+    further = [[value(d, step) for d in range(DEPTHS)] for step in (1, 7, 13)[:ORDERS]]
+    deeper = F.array(*[F.xxhash64("key", F.lit(o), *row[: d + 1]) for o, row in enumerate(further) for d in range(DEPTHS)])
+    pairs = _ends(rest.select("k", F.explode(deeper).alias("key")))
+    apart = pairs.join(known, F.col("u") == F.col("_n"), "left").select("u", "v", F.coalesce("component", "u").alias("cu"))
+    apart = apart.join(known, F.col("v") == F.col("_n"), "left").where(F.col("cu") != F.coalesce("component", "v")).select("u", "v")
+    more = _verified(apart, texts)
+    links = staged.write(links.unionByName(more), "links")
+    staged.drop(shared, texts, placed)
+    return sketch, components(links)
 
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Staged]:
+    """(id, version, removed array<int>): numbers (from 0, split at newlines) of each text's lines that repeat an earlier one;
+    version is the text's hash."""
+    staged = common.Staged(docs.sparkSession, "lines")
+    lines = _lines(docs, id_col, text_col)
+    sketch, known = _links(lines, staged)
     # The first place of each component stays; of a line without links, its own first place.
-    grouped = firsts.join(known, F.col("k") == F.col("_n"), "left").where("n > 1 or component is not null").select("k", "first", F.coalesce("component", "k").alias("c"))
-    grouped = staged.write(grouped, "grouped")
-    kept = grouped.groupBy("c").agg(F.min("first").alias("kept")).withColumnRenamed("c", "_c")
-    of_line = grouped.join(kept, F.col("c") == F.col("_c")).select(F.col("k").alias("_k"), "kept")
-    places = rows.select("id", "at", "place", "k").join(of_line, F.col("k") == F.col("_k")).where("place <> kept")
-    removed = places.groupBy("id").agg(F.collect_set("at").alias("removed"))
-    out = staged.write(removed, "removed")
-    staged.drop(rows, shared, texts, firsts, grouped)
+    nodes = sketch.join(known, F.col("k") == F.col("node"), "left").where("many or component is not null")
+    nodes = nodes.select(F.col("k").alias("_k"), F.coalesce("component", "k").alias("c"))
+    places = lines.select("id", "version", "at", "k").join(nodes, F.col("k") == F.col("_k")).select("id", "version", "at", "c")
+    places = staged.write(places, "places")
+    # A place as one struct; nulls come first in structs, so that ids carry a sign of their own.
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "version", "at")
+    kept = places.groupBy("c").agg(F.min(place).alias("kept")).withColumnRenamed("c", "_c")
+    gone = places.join(kept, F.col("c") == F.col("_c")).where(place != F.col("kept"))
+    out = staged.write(gone.groupBy("id", "version").agg(F.collect_set("at").alias("removed")), "removed")
+    staged.drop(sketch, places)
     return out, staged
 
 
+def without_repeats(docs: DataFrame, id_col: str, text_col: str, count: str) -> DataFrame:
+    """dedup_lines with a name for the column of counts."""
+    removed, staged = removed_lines(docs, id_col, text_col)
+    version, key, numbers = common.fresh(docs, 3)
+    left = docs.withColumn(version, F.xxhash64(docs[text_col]))
+    right = removed.select(F.col("id").alias(key), F.col("version").alias(f"{version}_"), F.col("removed").alias(numbers))
+    on = left[id_col].cast("long").eqNullSafe(right[key]) & (left[version] == right[f"{version}_"]) & left[text_col].isNotNull()
+    joined = left.join(right, on, "left")
+    none = F.coalesce(right[numbers], F.array().cast("array<int>"))
+    lines = F.filter(F.split(left[text_col], "\n"), lambda _, at: ~F.array_contains(none, at))
+    text = F.when(F.size(none) == 0, left[text_col]).otherwise(F.array_join(lines, "\n"))
+    columns = [c for c in docs.columns if c != count]
+    return staged.keep(joined.select(*[text.alias(c) if c == text_col else left[c] for c in columns], F.size(none).alias(count)))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's repeated lines taken out, and n_removed (int): how many.
 
-    Lines are compared in lower case and with white space folded; those under MIN_BYTES bytes stay. Of the lines of a
-    component the one with the smallest (id, line number) stays, so a document may end up with an empty text but is never
-    dropped. Null texts and ids stay as they are; ids are taken to be distinct; other columns pass through, also if they are called like columns used inside.
+    Lines are compared in lower case and with white space folded; all that are not blank take part, those of fewer than WIDTH
+    characters as one shingle. Of the lines of a component the one with the smallest (id, line number) stays, null ids last, so
+    a document may end up with an empty text but is never dropped; blank lines and null texts stay as they are. Rows that repeat
+    both id and text are one document and come out alike, once for each; rows of one id and different texts are told apart by
+    the text's hash. An empty table gives no rows. Other columns pass through whatever their names, but for n_removed, which is
+    replaced.
     """
-    removed, staged = removed_lines(docs, id_col, text_col)
-    right = removed.select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
-    joined = docs.join(right, docs[id_col].cast("long") == F.col("__id"), "left")
-    none = F.coalesce(F.col("__removed"), F.array().cast("array<int>"))
-    lines = F.filter(F.split(docs[text_col], "\n"), lambda _, at: ~F.array_contains(none, at))
-    text = F.when(F.size(none) == 0, docs[text_col]).otherwise(F.array_join(lines, "\n"))
-    out = joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.size(none).alias("n_removed"))
-    return staged.keep(out)
+    return without_repeats(docs, id_col, text_col, "n_removed")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
