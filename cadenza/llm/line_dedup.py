@@ -3,7 +3,7 @@
 A line's shingles are its windows of WIDTH characters, one at every character (lower case, white space folded). Equal lines are
 one node. MinHash values over the shingles are banded into buckets, and lines of a bucket are verified exactly against its
 smallest line. Buckets that still hold more than one component are split by further MinHash values, one more at each depth, and
-the lines of each part are verified against its two ends. So the pairs grow with the lines and not with the square of a bucket,
+the lines of each part are verified against two of them. So the pairs grow with the lines and not with the square of a bucket,
 however many lines share it. Union-find over the verified links gives the components, and one line of each stays.
 """
 
@@ -102,10 +102,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ends(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each key's smallest and largest k with its other members."""
-    ends = members.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").withColumnRenamed("key", "_key")
+    """Pairs (u, v) of each key's two ends with its other members; the order in which k has ends is another one for each key."""
+    order = F.xxhash64("key")
+    turned = F.col("k").bitwiseXOR(order)
+    ends = members.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
+    ends = ends.select(F.col("key").alias("_key"), F.array(F.col("low").bitwiseXOR(order), F.col("high").bitwiseXOR(order)).alias("ends"))
     joined = members.join(ends, F.col("key") == F.col("_key"))
-    both = joined.select("k", F.explode(F.array("low", "high")).alias("end")).where("k <> end")
+    both = joined.select("k", F.explode("ends").alias("end")).where("k <> end")
     return both.select(F.least("k", "end").alias("u"), F.greatest("k", "end").alias("v")).distinct()
 
 
