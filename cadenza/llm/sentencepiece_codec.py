@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,7 @@ from .pieces import PieceBPE, encoder
 class CharacterMap:
     """The compiled character map of a SentencePiece model: a double-array trie over UTF-8 keys, and zero-ended replacements.
 
-    An empty map changes nothing. normalize() replaces the longest key that starts at each place, else keeps the character,
-    and returns for every output byte the source byte it stands for (with the source's end as a last entry).
+    An empty map changes nothing.
     """
 
     def __init__(self, blob: bytes):
@@ -46,25 +46,19 @@ class CharacterMap:
                 best = k + 1 - at, self.out[begin : self.out.index(b"\0", begin)]
         return best
 
-    def normalize(self, source: bytes) -> tuple[bytes, list[int]]:
-        if not self.units:
-            return source, list(range(len(source) + 1))
-        out, where, at = bytearray(), [], 0
-        while at < len(source):
-            found = self.longest(source, at)
-            if found:
-                length, to = found
-            else:
-                length = 1 if source[at] < 0x80 else 2 if source[at] < 0xE0 else 3 if source[at] < 0xF0 else 4
-                to = source[at : at + length]
-            out += to
-            where += [at] * len(to) if found else range(at, at + length)
-            at += length
-        return bytes(out), [*where, len(source)]
+    def prefix(self, source: bytes, at: int) -> tuple[int, bytes]:
+        """How many source bytes are taken at this place and what stands for them: the longest key, else one character."""
+        found = self.longest(source, at)
+        if found:
+            return found
+        length = 1 if source[at] < 0x80 else 2 if source[at] < 0xE0 else 3 if source[at] < 0xF0 else 4
+        return length, source[at : at + length]
 
 
 class Aligned:
-    """A model's encoding with spans: for every id the bytes [begin, end) of the source text it came from."""
+    """A model's encoding with spans: for every id the bytes [begin, end) of the source text that it came from."""
+
+    MARK = "\u2581".encode()
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -74,85 +68,149 @@ class Aligned:
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         self.map, self.norm = CharacterMap(spec.normalizer_spec.precompiled_charsmap), spec.normalizer_spec
+        self.suffix = spec.trainer_spec.treat_whitespace_as_suffix
         self.library = SentencePieceProcessor(model_file=path)
-        space = "▁".encode()
-        #: Normalised bytes that an id covers, a space counting as one byte; of unknown ids the library's surface is used.
-        self.width = np.array([1 if p.type == p.BYTE else 0 if p.type == p.CONTROL else len(p.piece.encode().replace(space, b" ")) for p in spec.pieces])
-        self.unknown = {k for k, p in enumerate(spec.pieces) if p.type == p.UNKNOWN}
-        if self.norm.remove_extra_whitespaces:
-            raise ValueError("models that drop spaces aren't aligned")
-
-    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """The source bytes of each id of an encoding without begin and end ids. The dummy space is an empty span's part."""
-        body, where = self.map.normalize(text.encode())
-        # A literal U+2581 means a space to the model, and is three bytes of the source.
-        marks, at, k = [], 0, 0
-        while k < len(body):
-            marks.append(k)
-            k += 3 if body[k : k + 3] == b"\xe2\x96\x81" else 1
-        marks.append(len(body))
-        if any(i in self.unknown for i in ids):
-            raise ValueError("the model has no bytes for a character of this text")
-        lead = 1 if self.norm.add_dummy_prefix and text else 0
-        out = []
-        for w in self.width[ids].tolist():
-            a, b = max(0, at - lead), max(0, at + w - lead)
-            out.append((where[marks[a]], where[marks[b]]))
-            at += w
-        return out
+        self.user = sorted((p.piece.encode() for p in spec.pieces if p.type == p.USER_DEFINED), key=len, reverse=True)
+        #: Normalised bytes that each id stands for, with a space for the mark; None for unknown ids.
+        byte = lambda p: bytes([int(p.piece[3:5], 16)])
+        self.bytes = [byte(p) if p.type == p.BYTE else None if p.type == p.UNKNOWN else b"" if p.type == p.CONTROL else p.piece.encode().replace(self.MARK, b" ") for p in spec.pieces]
+        self.width = np.array([len(x) if x is not None else 0 for x in self.bytes])
+        self.unknown = np.array([x is None for x in self.bytes])
+        try:
+            self.fast = encoder(PieceBPE, path)
+        except ValueError:  # its pieces can cross spaces, so whole texts go to the library
+            self.fast = None
+        self.identical = not self.map.units and not self.user and not self.norm.remove_extra_whitespaces and not self.suffix
+
+    def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row (no begin and end ids), and how many each text has."""
+        if self.fast:
+            return self.fast.encode(column)
+        found = [self.library.encode(t or "") for t in column.to_pylist()]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count
+
+    def normalize(self, source: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The text as the model sees it, with a space for the mark, and for each of its bytes where the source bytes begin and
+        end that it stands for."""
+        drop = self.norm.remove_extra_whitespaces
+        lead = self.norm.add_dummy_prefix and not self.suffix
+        if self.identical and self.MARK not in source:
+            at = np.arange(len(source) + 1)
+            return (b" " + source, np.append(0, at[:-1]), at) if lead and source else (source, at[:-1], at[1:])
+        out, begins, ends, at = bytearray(), [], [], 0
+
+        def taken() -> tuple[int, bytes]:
+            own = next((u for u in self.user if source.startswith(u, at)), None)
+            length, to = (len(own), own) if own else self.map.prefix(source, at)
+            return length, to.replace(self.MARK, b" ")
+
+        while drop and at < len(source):
+            length, to = taken()
+            if to != b" ":
+                break
+            at += length
+        if at < len(source) and lead:
+            out, begins, ends = bytearray(b" "), [at], [at]
+        after_space = drop
+        while at < len(source):
+            length, to = taken()
+            while after_space and to.startswith(b" "):
+                to = to[1:]
+            if to:
+                out += to
+                same = to == source[at : at + length]  # then its bytes stay apart
+                begins += range(at, at + length) if same else [at] * len(to)
+                ends += range(at + 1, at + length + 1) if same else [at + length] * len(to)
+                after_space = drop and to.endswith(b" ")
+            at += length
+        while drop and out.endswith(b" "):
+            del out[-1], begins[-1], ends[-1]
+        if self.norm.add_dummy_prefix and self.suffix and out:
+            out += b" "
+            begins.append(ends[-1])
+            ends.append(ends[-1])
+        return bytes(out), np.array(begins, np.int64), np.array(ends, np.int64)
+
+    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(begins, ends, whole) of an encoding without begin and end ids: all source bytes that a part of each id comes from,
+        in order; whole says whether the pieces spell the normalised text. The dummy space has no bytes."""
+        body, begins, ends = self.normalize(text.encode())
+        width, parts = self.width[ids], [self.bytes[i] for i in ids.tolist()]
+        if self.unknown[ids].any():  # only the library knows what an unknown id stands for
+            parts = [p if p is not None else s.encode().replace(self.MARK, b" ") for p, s in zip(parts, self.library.encode(text, out_type=str), strict=True)]
+            width = np.fromiter(map(len, parts), np.int64, len(parts))
+        if b"".join(parts) != body:  # no model whose pieces spell its text comes here
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), False
+        to = np.cumsum(width)
+        if not len(body):
+            return to, to, True
+        begin = begins[np.minimum(to - width, len(body) - 1)]
+        return begin, np.where(width > 0, ends[np.maximum(to, 1) - 1], begin), True
 
 
 _ALIGNED: dict[str, Aligned] = {}
 
 
+def _aligned(model: str) -> Aligned:
+    """One instance for each worker process."""
+    if model not in _ALIGNED:
+        _ALIGNED[model] = Aligned(model)
+    return _ALIGNED[model]
+
+
+def _encoded(a: Aligned, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(ids, begins, ends, whole) of each text; a null is an empty text."""
+    flat, count = a.ids(column)
+    at = np.append(0, np.cumsum(count)).tolist()
+    for x, y, text in zip(at, at[1:], column, strict=False):
+        yield flat[x:y], *a.spans(text.as_py() or "", flat[x:y])
+
+
 def encode_spans(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids array<int> (no begin or end id), begins and ends array<int> (source bytes of each piece)."""
+    """Per row: id, ids array<int> (no begin or end id), begins and ends array<int> (source bytes of each piece).
+
+    Null and empty texts have empty arrays; texts of any length are encoded whole; unknown pieces span the characters that the
+    model lacks. Repeated rows and null ids stay; other columns aren't read, whatever their names; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _ALIGNED.setdefault(model, None) or _ALIGNED.__setitem__(model, Aligned(model)) or _ALIGNED[model]
-        enc = encoder(PieceBPE, model)
+        a, ints = _aligned(model), pa.list_(pa.int32())
         for b in batches:
-            flat, count = enc.encode(b.column(1))
-            at = np.append(0, np.cumsum(count))
-            ids = [flat[x:y].tolist() for x, y in zip(at, at[1:], strict=False)]
-            spans = [a.spans(t or "", i) for t, i in zip(b.column(1).to_pylist(), ids, strict=True)]
-            ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, ints), pa.array([[x for x, _ in s] for s in spans], ints), pa.array([[y for _, y in s] for s in spans], ints)], names=["id", "ids", "begins", "ends"])
+            rows = list(_encoded(a, b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k].astype(np.int32) for r in rows], ints) for k in range(3))], names=["id", "ids", "begins", "ends"])
 
     common.ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>, begins array<int>, ends array<int>").withColumnRenamed("id", id_col)
 
 
 def codec(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256, aligned: with begin and end ids, decoded by the library.
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256 (with begin and end ids, decoded by the library), spans_crc32 (of all
+    pieces' source bytes, begin and end as little-endian 32-bit integers in turn), aligned (the pieces spell the whole text).
 
-    aligned: the widths of the pieces add up to the width of the text; no spans are computed here. Null texts count as empty
-    (begin and end id only, decoded to nothing, aligned). Repeated rows stay; other columns aren't read.
+    Every text goes through the same encoder as in encode_spans. Null texts count as empty (begin and end id only, decoded to
+    nothing, aligned). Repeated rows and null ids stay; other columns aren't read, whatever their names; an empty table gives
+    no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(PieceBPE, model)
-        library = enc.library
-        a = _ALIGNED.setdefault(model, None) or _ALIGNED.__setitem__(model, Aligned(model)) or _ALIGNED[model]
-        ends = np.array([library.bos_id()], "<u4"), np.array([library.eos_id()], "<u4")
+        a = _aligned(model)
+        first, last = np.array([a.library.bos_id()], "<u4"), np.array([a.library.eos_id()], "<u4")
         for b in batches:
-            flat, count = enc.encode(b.column(1))
-            at = np.append(0, np.cumsum(count)).tolist()
-            covered = np.append(0, np.cumsum(a.width[flat]))
-            sha, decoded, aligned = [], [], []
-            for x, y, text in zip(at, at[1:], b.column(1), strict=False):
-                source = (text.as_py() or "").encode()
-                ids = np.concatenate([ends[0], flat[x:y].astype("<u4"), ends[1]])
+            count, sha, decoded, crc, aligned = [], [], [], [], []
+            for found, begins, ends, whole in _encoded(a, b.column(1)):
+                ids = np.concatenate([first, found.astype("<u4"), last])
+                count.append(len(ids))
                 sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                back = library.decode(ids.tolist())
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                body = a.map.normalize(source)[0] if a.map.units else source
-                width = len(body) - 2 * body.count(b"\xe2\x96\x81") + (1 if source and a.norm.add_dummy_prefix else 0)
-                aligned.append(bool(covered[y] - covered[x] == width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count + 2, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(aligned, pa.bool_())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "aligned"])
+                decoded.append(hashlib.sha256(a.library.decode(ids.tolist()).encode()).hexdigest())
+                crc.append(zlib.crc32(np.stack([begins, ends], 1).astype("<u4").tobytes()))
+                aligned.append(whole)
+            columns = [pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(decoded, pa.string()), pa.array(crc, pa.int64()), pa.array(aligned, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32", "aligned"])
 
     common.ship(docs.sparkSession)
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, aligned boolean").withColumnRenamed("id", id_col)
+    thin = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return thin.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long, aligned boolean").withColumnRenamed("id", id_col)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

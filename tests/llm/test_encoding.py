@@ -1,6 +1,8 @@
 """Encoding, files, counts, spans and packing against the libraries and brute force."""
 
 import hashlib
+import unicodedata
+import zlib
 import zlib
 
 import numpy as np
@@ -138,10 +140,66 @@ def test_character_map_takes_the_longest_prefix():
     out = b"X\0YY\0\0"
     blob = trie({b"a": 0, b"ab": 2, "é".encode(): 5})
     m = sentencepiece_codec.CharacterMap(len(blob).to_bytes(4, "little") + blob + out)
-    text, where = m.normalize("aabcéd".encode())
-    assert text == b"XYYcd"
-    assert where == [0, 1, 1, 3, 6, 7]
-    assert sentencepiece_codec.CharacterMap(b"").normalize(b"ab") == (b"ab", [0, 1, 2])
+    source, at, taken = "aabcéd".encode(), 0, []
+    while at < len(source):
+        taken.append((at, *m.prefix(source, at)))
+        at += taken[-1][1]
+    assert taken == [(0, 1, b"X"), (1, 2, b"YY"), (3, 1, b"c"), (4, 2, b""), (6, 1, b"d")]
+    assert sentencepiece_codec.CharacterMap(b"").prefix("é".encode(), 0) == (2, "é".encode())
+
+
+@pytest.mark.parametrize("drop", [False, True])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_spans_of_a_model_with_a_character_map(tmp_path, spark, docs, drop, prefix):
+    """The library's compiled NFKC map, with and without dropping of spaces; pieces must spell what the library makes of a text."""
+    from sentencepiece import SentencePieceNormalizer, SentencePieceProcessor
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec, rules = pb.ModelProto(), pb.ModelProto()
+    spec.ParseFromString(open(P.path("piece_bpe_32k.model"), "rb").read())
+    rules.ParseFromString(SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    spec.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+    spec.normalizer_spec.remove_extra_whitespaces, spec.normalizer_spec.add_dummy_prefix = drop, prefix
+    path = str(tmp_path / "mapped.model")
+    open(path, "wb").write(spec.SerializeToString())
+    library = SentencePieceProcessor(model_file=path)
+    texts = ["ﬁne  ① Ａ b", "  two  spaces  ", "", None, "é e\u0301 ㍿ x\u3000y", "plain words", "tab\tand\nline", "½ № \u2581 mark", " ", *(t for t in ODD if t)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in sentencepiece_codec.encode_spans(df, path).collect()}
+    digests = {r.doc_id: r for r in sentencepiece_codec.codec(df, path).collect()}
+    for k, t in enumerate(texts):
+        assert list(rows[k].ids) == library.encode(t or ""), t
+        assert digests[k].aligned, t
+        assert digests[k].spans_crc32 == zlib.crc32(np.stack([rows[k].begins, rows[k].ends], 1).astype("<u4").tobytes())
+        source = (t or "").encode()
+        assert all(0 <= x <= y <= len(source) for x, y in zip(rows[k].begins, rows[k].ends, strict=True))
+        assert all(x <= y for x, y in zip(rows[k].ends, rows[k].begins[1:], strict=False)) or any(len(c.encode()) > 1 for c in t)
+        pieces_ = [library.id_to_piece(i).replace("\u2581", " ") for i in rows[k].ids]
+        for x, y, piece in zip(rows[k].begins, rows[k].ends, pieces_, strict=True):
+            if piece.isascii() and len(piece.strip()) > 2 and not piece.startswith("<"):
+                held = unicodedata.normalize("NFKC", source[x:y].decode(errors="ignore"))
+                assert piece.strip() in held, (t, piece, held)
+    assert (0, 3) in list(zip(rows[0].begins, rows[0].ends, strict=True)) or rows[0].ends[0] >= 3  # the ligature
+
+
+def test_unknown_pieces_have_spans(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto()
+    spec.ParseFromString(open(P.path("piece_bpe_32k.model"), "rb").read())
+    for p in spec.pieces:
+        if p.type == p.BYTE:
+            p.type = p.UNUSED
+    spec.trainer_spec.byte_fallback = False
+    path = str(tmp_path / "unknown.model")
+    open(path, "wb").write(spec.SerializeToString())
+    a = sentencepiece_codec.Aligned(path)
+    text = "word \U00010348 end"
+    ids = np.array(a.library.encode(text), np.uint32)
+    begins, ends, whole = a.spans(text, ids)
+    assert whole and a.unknown[ids].any()
+    k = int(np.flatnonzero(a.unknown[ids])[0])
+    assert text.encode()[begins[k] : ends[k]].decode().strip() == "\U00010348"
 
 
 def test_packing(spark, docs):
