@@ -134,7 +134,7 @@ REPORTS: dict[str, Report] = {
     "q19_full_context": Report(
         "tracks artists albums? audio_features playlist_tracks genres",
         {c: c for c in ("track_id", "track_name", "artist_name", "album_name", "release_year", "release_decade", _POP)}
-        | {"duration_min": "round(duration_min, 2)"}
+        | {"duration_min": rounded("duration_min", 2)}
         | {c: c for c in ("duration_category", "genre_name", "subgenre_name", "danceability", "energy", "key", "loudness")}
         | {"musical_key_mode": "case when mode = 1 then 'Major' else 'Minor' end"}
         | {c: c for c in ("speechiness", "acousticness", "instrumentalness", "liveness", "valence", "tempo")}
