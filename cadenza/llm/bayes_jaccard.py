@@ -122,7 +122,8 @@ def _each(column: pa.Array, words: int):
 
 
 def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataFrame:
-    """(id, h1, h2, size, sig, keys): a digest of each text's shingle set, its size, MinHash values of 16 bits, band keys."""
+    """(id, version, h1, h2, size, sig, keys): the text's hash, a digest of its shingle set, the set's size, MinHash values of
+    16 bits, band keys."""
     rng = np.random.default_rng(join.seed)
     factors = rng.integers(1, 2**63, join.hashes, np.int64).astype(np.uint64) | np.uint64(1)
     adds = rng.integers(0, 2**63, join.hashes, np.int64).astype(np.uint64)
@@ -149,10 +150,10 @@ def signatures(docs: DataFrame, join: Join, id_col: str, text_col: str) -> DataF
                     keys = (keys ^ banded[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                     keys ^= keys >> np.uint64(32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * join.bands, pa.int32()), pa.array(keys.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary()), lists], names=["id", "h1", "h2", "size", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(size), pa.array([x.tobytes() for x in sig], pa.binary()), lists], names=["id", "version", "h1", "h2", "size", "sig", "keys"])
 
-    thin = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return thin.mapInArrow(run, "id long, h1 long, h2 long, size long, sig binary, keys array<long>")
+    thin = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("version"))
+    return thin.mapInArrow(run, "id long, version long, h1 long, h2 long, size long, sig binary, keys array<long>")
 
 
 def _blocks(df: DataFrame, key: list[str], counts: DataFrame) -> DataFrame:
@@ -260,21 +261,23 @@ def _verified(join: Join):
 
 
 def jaccard_join(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_links (other rows whose shingle sets have Jaccard similarity >= threshold), class_id (smallest id that
-    links lead to), kept (id = class_id).
-
-    Texts without words (null, empty, white space) link with nothing. Ids are taken to be distinct and not null; an empty
-    table gives no rows; other columns aren't read. A pair is missed if it shares none of the bands (about 4 in 10,000 at a
-    similarity of 0.8) or its MinHash values fall below the tolerance.
+    """Per row: id, version (the text's hash), n_links (other rows whose shingle sets have Jaccard similarity >= threshold),
+    class_id (smallest id that links lead to), kept (false for all but one document of those that links join).
+
+    Texts without words (null, empty, white space) link with nothing and are kept. Kept is the document with the smallest id,
+    null ids last; of equal ids with different texts one, by their hash. Rows that repeat both id and text are one document: each
+    counts as a link, and they are kept or not alike. Texts are read whole. An empty table gives no rows; other columns aren't
+    read, whatever their names. A pair is missed if it shares none of the bands (about 4 in 10,000 at a similarity of 0.8) or
+    its MinHash values fall below the tolerance.
     """
     join = join or Join()
     spark = docs.sparkSession
     staged = common.Staged(spark, "jaccard")
-    rows = staged.write(signatures(docs, join, id_col, text_col), "signatures")
-    classes = rows.where("size > 0").groupBy("h1", "h2", "size").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    classes = staged.write(classes, "classes")
-    thin = rows.select(F.col("id").alias("_id"), "sig", "keys")
-    unique = staged.write(classes.join(thin, classes["id"] == thin["_id"]).select("id", "n", "sig", "keys"), "unique")
+    # Texts with one digest and size are one class; its number is a hash of both.
+    rows = signatures(docs, join, id_col, text_col).withColumn("class", F.xxhash64("h1", "h2", "size"))
+    rows = staged.write(rows, "signatures")
+    unique = rows.where("size > 0").groupBy(F.col("class").alias("id")).agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first(F.struct("sig", "keys")).alias("s"))
+    unique = staged.write(unique.select("id", "first", "n", "s.sig", "s.keys"), "unique")
 
     # Signatures follow only the documents that share a bucket with another.
     banded = unique.select("id", F.explode("keys").alias("key"))
@@ -284,21 +287,30 @@ def jaccard_join(docs: DataFrame, join: Join | None = None, id_col: str = "doc_i
     signed = shared.select("id", "key").join(unique.select(F.col("id").alias("_id"), "sig"), F.col("id") == F.col("_id")).drop("_id")
     spans = _blocks(signed, ["key"], counts).mapInArrow(_possible(join), "u long, v long")
     group = components(spans.distinct()).select(F.col("node").alias("_node"), F.col("component").alias("group"))
-    members = staged.write(unique.join(group, unique["id"] == group["_node"]).select("id", "n", "sig", "group"), "members")
-
-    text = docs.select(docs[id_col].cast("long").alias("_id"), docs[text_col].alias("text"))
-    full = members.join(text, members["id"] == text["_id"]).drop("_id")
+    members = staged.write(unique.join(group, unique["id"] == group["_node"]).select("id", "first", "n", "sig", "group"), "members")
+
+    # One row of each class that may have links brings its text.
+    wanted = members.select(F.col("id").alias("_class"))
+    bearers = rows.join(wanted, rows["class"] == wanted["_class"]).groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "version")).alias("b"))
+    bearers = bearers.select(F.col("class").alias("_class"), F.col("b.id").alias("_id"), F.col("b.version").alias("_version"))
+    text = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
+    text = text.join(bearers, text["id"].eqNullSafe(bearers["_id"]) & (text["version"] == bearers["_version"])).select("_class", "text").dropDuplicates(["_class"])
+    full = members.join(text, members["id"] == text["_class"]).drop("_class", "first")
     counts = members.groupBy("group").agg(F.count("*").alias("_m"))
     found = staged.write(_blocks(full, ["group"], counts).mapInArrow(_verified(join), "id long, n long, other long"), "links")
-    staged.drop(unique, shared, members)
+    staged.drop(shared, members)
     classed = components(found.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v")))
     degree = found.where("other is null").groupBy(F.col("id").alias("_of")).agg(F.sum("n").alias("linked"))
-    known = classes.join(degree, classes["id"] == degree["_of"], "left").join(classed, classes["id"] == classed["node"], "left")
-    known = known.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("size").alias("_size"), (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", classes["id"]).alias("class_id"))
-    out = rows.where("size > 0").join(known, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("size") == F.col("_size"))).select("id", "n_links", "class_id")
-    alone = rows.where("size = 0").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"))
-    result = out.unionByName(alone)
-    return staged.keep(result.withColumn("kept", F.col("id").eqNullSafe(F.col("class_id"))).withColumnRenamed("id", id_col))
+    known = unique.join(degree, unique["id"] == degree["_of"], "left").join(classed, unique["id"] == classed["node"], "left")
+    known = known.select(F.col("id").alias("_class"), "first", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", unique["id"]).alias("group"))
+    known = staged.write(known, "classes")
+    heads = known.groupBy(F.col("group").alias("_group")).agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", F.col("_class").alias("class"))).alias("head"))
+    known = known.join(heads, F.col("group") == F.col("_group")).select("_class", "n_links", F.col("head.first").alias("class_id"), F.col("head.class").alias("_head"))
+    linked = rows.where("size > 0").select("id", "version", "class").join(known, F.col("class") == F.col("_class"))
+    linked = linked.select("id", "version", "n_links", "class_id", ((F.col("class") == F.col("_head")) & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    alone = rows.where("size = 0").select("id", "version", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("class_id"), F.lit(True).alias("kept"))
+    staged.drop(unique)
+    return staged.keep(linked.unionByName(alone).withColumnRenamed("id", id_col))
 
 
 def op8_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .pieces import _LOWER, _MASKS, PAD, distinct, passes, text_bytes
@@ -118,8 +119,9 @@ def _texts(texts: list[bytes]) -> Texts:
 def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float, epochs: int = 6, seed: int = 7) -> Network:
     """The network from a sample; prior: the share of label 1 among all labels that may be used.
 
-    Half of the sample gives the embeddings' first dimension (log odds of a text with that feature), a quarter the
-    gradients, a quarter the calibration of scores and thresholds.
+    Three fifths of the sample give the embeddings' first dimension (log odds of a text with that feature), a fifth the
+    gradients, and after it the log odds too. The last fifth is left out of all of that: it calibrates the scores and the
+    thresholds of the network as it is returned.
     """
     rng = np.random.default_rng(seed)
     table = np.zeros((BUCKETS + 1, DIM), np.float32)
@@ -128,19 +130,19 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
     for f in filters:
         f[0, 0, ::2] += 0.5
     net = Network(table, filters, [np.full(FILTERS, -0.1, np.float32) for _ in WIDTHS], np.full(len(WIDTHS) * FILTERS, 0.05, np.float32), offset=-1.0)
-    fold = rng.permutation(len(texts)) % 4
-    if len(set(labels.tolist())) < 2 or min(np.bincount(fold, minlength=4)) < 2:
+    fold = rng.permutation(len(texts)) % 5
+    if len(set(labels.tolist())) < 2 or min(np.bincount(fold, minlength=5)) < 2:
         net.weights[:] = 0  # nothing to learn from: every score is the prior
         net.offset = float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
         return net
 
-    first = _log_odds(texts, labels, np.flatnonzero(fold < 2))
+    first = _log_odds(texts, labels, np.flatnonzero(fold < 3))
     net.table[:, 0] = first
     net.table[-1] = 0
 
     params = [net.weights, *net.filters, *net.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    held = np.flatnonzero(fold == 2)
+    held = np.flatnonzero(fold == 3)
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
     step = 0
     for epoch in range(epochs):
@@ -178,11 +180,11 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
                 v += 0.01 * (g * g - v)
                 p_ -= 0.02 / (1 + epoch) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
 
-    # From now on the log odds are those of all texts but the ones that calibrate, in the end those of all texts.
-    second = _log_odds(texts, labels, np.flatnonzero(fold < 3))
+    # From now on the log odds are those of all texts but the ones that calibrate.
+    second = _log_odds(texts, labels, np.flatnonzero(fold < 4))
     net.table[:, 0] += second - first
     net.table[-1] = 0
-    held = np.flatnonzero(fold == 3)
+    held = np.flatnonzero(fold == 4)
     z, y = np.concatenate([net.logit(_texts([texts[i] for i in held[k : k + CHUNK]])) for k in range(0, len(held), CHUNK)]), labels[held]
     share = max(y.mean(), 1e-6)
     w = np.where(y == 1, prior / share, (1 - prior) / max(1 - share, 1e-6))
@@ -194,8 +196,6 @@ def train(texts: list[bytes], labels: np.ndarray, langs: list[str], prior: float
         here = own == lang
         if min(y[here].sum(), (1 - y[here]).sum()) >= 10:
             net.thresholds[lang] = _best(s[here], y[here], w[here])
-    net.table[:, 0] += _log_odds(texts, labels, np.arange(len(texts))) - second
-    net.table[-1] = 0
     return net
 
 
@@ -254,24 +254,40 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network:
+    """The network for docs, from the bounded sample of labelled texts alone.
+
+    Null and empty texts, null ids and null labels teach nothing; of rows with one id one is taken, and a label is the highest
+    of an id's. Without labels of both kinds every score is the share of label 1. Other columns aren't read.
+    """
     rows, prior = sample(docs, labels, **columns)
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     return train([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], np.int64), [r["lang"] or "" for r in rows], prior)
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text. Null and empty texts get the score of a text without words."""
+def with_score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score of every whole text under a new name; rows and all other columns pass through as they are.
+
+    Null and empty texts get the score of a text without words; repeated rows and null ids stay; an empty table gives no rows.
+    """
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}")
     common.ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(net)  # BUCKETS x DIM floats
+    held, place = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index(text_col)  # BUCKETS x DIM floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = held.value
         for b in batches:
-            buf, offsets = text_bytes(b.column(1))
+            buf, offsets = text_bytes(b.column(place))
             parts = [net.score(Texts.of(np.append(buf[offsets[x] : offsets[y]], np.zeros(PAD, np.uint8)), offsets[x : y + 1] - offsets[x])) for x, y in passes(offsets)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.zeros(0), *parts]))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *parts]))], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of every row; cases as in with_score."""
+    thin = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return with_score(thin, net).select(F.col("id").alias(id_col), "score")
 
 
 def thresholds(net: Network, lang: F.Column) -> F.Column:
