@@ -22,12 +22,12 @@ from .components import components
 WIDTH = 9
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
-#: MinHash values beyond a band's own that split a bucket of several components.
-DEPTHS = 8
-#: Orders in which these values are taken.
-ORDERS = 3
+#: Rounds, and in each how many MinHash values beyond a band's own split a bucket of several components; their orders.
+DEPTHS, ORDERS = ((2,), (4, 6, 8)), 3
 #: Windows that one row of the sketch hashes.
-STEP = 8
+STEP = 12
+#: Bits of a filter that leaves out lines before they are shuffled: a table of at most FILTER_BITS / 64 rows, whatever the input.
+FILTER_BITS = 1 << 26
 _VALUES = BANDS * ROWS
 #: A value reads the shingle's hash from one of these bits on, so that neighbouring values order shingles independently.
 _SHIFTS = (0, 11, 22, 33)
@@ -46,18 +46,23 @@ def _normal(raw: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw)))
 
 
+def _wide(line: Column) -> Column:
+    """The line in two bytes a character (a rare sign beyond U+FFFF counts as two), so that a window's place is known."""
+    return F.encode(line, "UTF-16BE")
+
+
 def _last(wide: Column) -> Column:
-    """Where the last window of a text in four bytes a character begins; a shorter text is one window."""
-    return F.greatest(F.length(wide) - F.lit(4 * WIDTH - 1), F.lit(1))
+    """Where the last window begins; a shorter text is one window."""
+    return F.greatest(F.length(wide) - F.lit(2 * WIDTH - 1), F.lit(1))
 
 
 def _window(wide: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(wide, at, F.lit(4 * WIDTH)))
+    return F.xxhash64(F.substring(wide, at, F.lit(2 * WIDTH)))
 
 
 def _shingles(line: Column) -> Column:
     """64-bit hashes of the windows at every character."""
-    return _let(F.encode(line, "UTF-32"), lambda wide: F.transform(F.sequence(F.lit(1), _last(wide), F.lit(4)), lambda at: _window(wide, at)))
+    return _let(_wide(line), lambda wide: F.transform(F.sequence(F.lit(1), _last(wide), F.lit(2)), lambda at: _window(wide, at)))
 
 
 def _minhash(lines: DataFrame) -> DataFrame:
@@ -68,10 +73,10 @@ def _minhash(lines: DataFrame) -> DataFrame:
     31 bits of the shingle's hash, XORed with a constant; constants that read the same bits differ in their leading ones.
     """
     rng = random.Random(17)
-    wide = lines.select("k", "mark", F.encode("line", "UTF-32").alias("wide"))
-    starts = wide.select("k", "mark", "wide", F.explode(F.sequence(F.lit(1), _last(F.col("wide")), F.lit(4 * STEP))).alias("p"))
+    wide = lines.select("k", "mark", _wide(F.col("line")).alias("wide"))
+    starts = wide.select("k", "mark", "wide", F.explode(F.sequence(F.lit(1), _last(F.col("wide")), F.lit(2 * STEP))).alias("p"))
     # Beyond the last window, that one is taken again.
-    at = [F.least(F.col("p") + F.lit(4 * j), _last(F.col("wide"))) for j in range(STEP)]
+    at = [F.least(F.col("p") + F.lit(2 * j), _last(F.col("wide"))) for j in range(STEP)]
     hashed = starts.select("k", "mark", *[_window(F.col("wide"), a).alias(f"h{j}") for j, a in enumerate(at)])
     bits = [F.shiftrightunsigned(f"h{j}", s).bitwiseAND(F.lit(_LOW)).cast("int").alias(f"x{i}_{j}") for i, s in enumerate(_SHIFTS) for j in range(STEP)]
     values, share = [], _VALUES // len(_SHIFTS)
@@ -102,16 +107,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ends(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of each key's two ends with its other members; the order in which k has ends is another one for each key."""
+    """Of members (k, c, key) pairs (u, v) of each key's two ends with its other members, for keys with more than one c; the
+    order in which k has ends is another one for each key."""
     order = F.xxhash64("key")
     turned = F.col("k").bitwiseXOR(order)
-    ends = members.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high")).where("low < high")
+    ends = members.groupBy("key").agg(F.min(turned).alias("low"), F.max(turned).alias("high"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
     ends = ends.select(F.col("key").alias("_key"), F.array(F.col("low").bitwiseXOR(order), F.col("high").bitwiseXOR(order)).alias("ends"))
     joined = members.join(ends, F.col("key") == F.col("_key"))
     both = joined.select("k", F.explode("ends").alias("end")).where("k <> end")
     return both.select(F.least("k", "end").alias("u"), F.greatest("k", "end").alias("v")).distinct()
 
 
+def _among(lines: DataFrame, ks: DataFrame) -> DataFrame:
+    """Lines whose k is among ks (k), and a few others: what a hash of k says without a shuffle. With more ks than FILTER_BITS
+    more lines stay; none of ks' lines ever goes."""
+    bit = F.pmod("k", F.lit(FILTER_BITS))
+    place = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = ks.groupBy(F.shiftright(bit, 6).alias("_word")).agg(F.bit_or(place).alias("_bits"))
+    joined = lines.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("_word"))
+    return joined.where(F.col("_bits").bitwiseAND(place) != 0).drop("_word", "_bits")
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, version, at, k, mark, line) of all lines that are not blank; a null id comes last, mark tells places apart."""
     thin = docs.where(docs[text_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("version"), docs[text_col].alias("text"))
@@ -120,39 +136,36 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("id", "version", "at", F.xxhash64("line").alias("k"), F.xxhash64("id", "version", "at").alias("mark"), "line")
 
 
-def _links(lines: DataFrame, staged: common.Staged) -> tuple[DataFrame, DataFrame]:
-    """(sketch, components of different lines' nodes)."""
-    sketch = staged.write(_minhash(lines.select("k", "mark", "line")), "sketch")
-    banded = sketch.select("k", F.posexplode(_bands()).alias("b", "key"))
-    buckets = banded.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last")
-    buckets = buckets.select(F.col("key").alias("_key"), "leader")
-    shared = staged.write(banded.join(buckets, F.col("key") == F.col("_key")).select("k", "b", "key", "leader"), "buckets")
-    involved = shared.select("k").distinct()
-    involved = sketch.join(involved.withColumnRenamed("k", "_k"), F.col("k") == F.col("_k")).select("_k", F.col("mark").alias("_mark"))
-    texts = lines.select("k", "mark", "line").join(involved, (F.col("k") == F.col("_k")) & (F.col("mark") == F.col("_mark")))
-    texts = staged.write(texts.select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).alias("size")), "texts")
-
+def _links(sketch: DataFrame, shared: DataFrame, held: DataFrame, staged: common.Staged) -> DataFrame:
+    """Components of the nodes of different lines that the threshold links."""
+    texts = held.where("line is not null").select("k", "line", F.size(F.array_distinct(_shingles(F.col("line")))).alias("size"))
+    texts = staged.write(texts, "texts")
     stars = shared.where("k <> leader").select(F.col("leader").alias("u"), F.col("k").alias("v")).distinct()
     links = staged.write(_verified(stars, texts), "links")
-    known = components(links).select(F.col("node").alias("_n"), "component")
     # Buckets of one component are settled; in the others lines meet again in ever smaller parts.
-    placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "b", "key", F.coalesce("component", "k").alias("c"))
-    placed = staged.write(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
-    rest = placed.join(open_, F.col("key") == F.col("_key")).select("k", "b", "key")
-    values = sketch.select(F.col("k").alias("_k"), "v")
-    rest = rest.join(values, F.col("k") == F.col("_k"))
-    # The values after a band's own, in steps that have no divisor in common with their number.
+    for depths in DEPTHS:
+        known = components(links).select(F.col("node").alias("_n"), "component")
+        placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "b", "key", F.coalesce("component", "k").alias("c"))
+        placed = staged.write(placed, "placed")
+        open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
+        rest = placed.join(open_, F.col("key") == F.col("_key")).select("k", "c", "b", "key")
+        rest = rest.join(sketch.select(F.col("k").alias("_k"), "v"), F.col("k") == F.col("_k"))
+        pairs = _ends(rest.select("k", "c", F.explode(_deeper(depths)).alias("key")))
+        apart = pairs.join(known, F.col("u") == F.col("_n"), "left").select("u", "v", F.coalesce("component", "u").alias("cu"))
+        apart = apart.join(known, F.col("v") == F.col("_n"), "left").where(F.col("cu") != F.coalesce("component", "v")).select("u", "v")
+        more = staged.write(links.unionByName(_verified(apart, texts)), "links")
+        staged.drop(placed, links)
+        links = more
+    staged.drop(texts)
+    return components(links)
+
+
+def _deeper(depths: tuple[int, ...]) -> Column:
+    """Keys of the parts of a bucket (b, key) by the values after its band's own, in steps that have no divisor in common with
+    their number."""
     value = lambda d, step: F.get("v", F.pmod(F.col("b") * ROWS + (ROWS + d) * step, F.lit(_VALUES)).cast("int"))
-    further = [[value(d, step) for d in range(DEPTHS)] for step in (1, 7, 13)[:ORDERS]]
-    deeper = F.array(*[F.xxhash64("key", F.lit(o), *row[: d + 1]) for o, row in enumerate(further) for d in range(DEPTHS)])
-    pairs = _ends(rest.select("k", F.explode(deeper).alias("key")))
-    apart = pairs.join(known, F.col("u") == F.col("_n"), "left").select("u", "v", F.coalesce("component", "u").alias("cu"))
-    apart = apart.join(known, F.col("v") == F.col("_n"), "left").where(F.col("cu") != F.coalesce("component", "v")).select("u", "v")
-    more = _verified(apart, texts)
-    links = staged.write(links.unionByName(more), "links")
-    staged.drop(shared, texts, placed)
-    return sketch, components(links)
+    further = [[value(d, step) for d in range(max(depths))] for step in (1, 7, 13)[:ORDERS]]
+    return F.array(*[F.xxhash64("key", F.lit(o), *row[:d]) for o, row in enumerate(further) for d in depths])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Staged]:
@@ -160,18 +173,30 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     version is the text's hash."""
     staged = common.Staged(docs.sparkSession, "lines")
     lines = _lines(docs, id_col, text_col)
-    sketch, known = _links(lines, staged)
+    sketch = staged.write(_minhash(lines.select("k", "mark", "line")), "sketch")
+    banded = sketch.select("k", F.posexplode(_bands()).alias("b", "key"))
+    buckets = banded.groupBy("key").agg(F.min("k").alias("leader"), F.max("k").alias("last")).where("leader < last")
+    buckets = buckets.select(F.col("key").alias("_key"), "leader")
+    shared = staged.write(banded.join(buckets, F.col("key") == F.col("_key")).select("k", "b", "key", "leader"), "buckets")
+
+    # Places of lines that repeat or share a bucket; one place of each of the latter brings its text.
+    met = shared.select(F.col("k").alias("_k")).distinct()
+    wanted = sketch.join(met, F.col("k") == F.col("_k"), "left").where("many or _k is not null")
+    wanted = staged.write(wanted.select("k", F.when(F.col("_k").isNotNull(), F.col("mark")).alias("bearer")), "wanted")
+    right = wanted.select(F.col("k").alias("_k"), "bearer")
+    held = _among(lines, wanted.select("k")).join(right, F.col("k") == F.col("_k"))
+    held = staged.write(held.select("id", "version", "at", "k", F.when(F.col("mark") == F.col("bearer"), F.col("line")).alias("line")), "held")
+    known = _links(sketch, shared, held, staged)
+    staged.drop(sketch, shared)
     # The first place of each component stays; of a line without links, its own first place.
-    nodes = sketch.join(known, F.col("k") == F.col("node"), "left").where("many or component is not null")
-    nodes = nodes.select(F.col("k").alias("_k"), F.coalesce("component", "k").alias("c"))
-    places = lines.select("id", "version", "at", "k").join(nodes, F.col("k") == F.col("_k")).select("id", "version", "at", "c")
-    places = staged.write(places, "places")
+    nodes = wanted.join(known, F.col("k") == F.col("node"), "left").select(F.col("k").alias("_k"), F.coalesce("component", "k").alias("c"))
+    places = staged.write(held.select("id", "version", "at", "k").join(nodes, F.col("k") == F.col("_k")).select("id", "version", "at", "c"), "places")
     # A place as one struct; nulls come first in structs, so that ids carry a sign of their own.
     place = F.struct(F.col("id").isNull().alias("none"), "id", "version", "at")
     kept = places.groupBy("c").agg(F.min(place).alias("kept")).withColumnRenamed("c", "_c")
     gone = places.join(kept, F.col("c") == F.col("_c")).where(place != F.col("kept"))
     out = staged.write(gone.groupBy("id", "version").agg(F.collect_set("at").alias("removed")), "removed")
-    staged.drop(sketch, places)
+    staged.drop(wanted, held, places)
     return out, staged
 
 
