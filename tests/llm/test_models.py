@@ -52,7 +52,48 @@ def test_counts_cover_every_word(spark):
     got = {r.gram: r.n for r in kneser_ney.count_grams(df.repartition(3)).collect()}
     a, b, c = (int(kneser_ney.CLASS[ord(x)]) for x in "abc")
     code = lambda *s: sum(x << (6 * k) for k, x in enumerate(reversed(s)))
-    assert got == {code(0, 0, 0, a): 3, code(0, 0, a, b): 3, code(0, a, b, 1): 3, code(0, 0, 0, c): 1, code(0, 0, c, 1): 1}
+    # The second word of a text sees the last two classes of the first, and the space.
+    assert got == {code(0, 0, 0, a): 2, code(0, 0, a, b): 2, code(0, a, b, 1): 3, code(a, b, 0, a): 1, code(b, 0, a, b): 1, code(a, b, 0, c): 1, code(b, 0, c, 1): 1}
+
+
+def test_order_of_words_counts(spark):
+    """Words whose end says how the next begins: the same words in another order are rejected, and scores equal a plain version."""
+    rng = random.Random(9)
+    follows = {x: "bcdfghjklm"[k] for k, x in enumerate("nopqrstuvw")}
+
+    def running(n):
+        out, begin = [], "b"
+        for _ in range(n):
+            end = rng.choice("nopqrstuvw")
+            out.append(begin + "".join(rng.choice("aei") for _ in range(rng.randrange(1, 4))) + end)
+            begin = follows[end]
+        return out
+
+    texts = [running(80) for _ in range(300)]
+    shuffled = [rng.sample(t, len(t)) for t in texts[:15]]
+    rows = [(k, " ".join(t), "en") for k, t in enumerate([*texts, *shuffled])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in kneser_ney.quality(df).collect()}
+    assert sum(got[k].kept for k in range(300)) >= 0.98 * 300
+    assert not any(got[k].kept for k in range(300, 315))
+    counts = Counter()
+    for _, t, _ in rows:
+        counts.update(plain_grams(t))
+    lm = kneser_ney.KneserNey(np.array([*counts]), np.array([*counts.values()]))
+    for k in (0, 7, 301):
+        grams = plain_grams(rows[k][1])
+        assert np.isclose(got[k].log_perplexity, -lm.score(np.array(grams)).mean())
+
+
+def plain_grams(text):
+    out, past = [], (0, 0)
+    for w in text.split():
+        classes = [*(int(kneser_ney.CLASS[x]) for x in w.encode()), 1]
+        for k in range(len(classes)):
+            context = [*past, 0] if k == 0 else [past[1], 0, classes[0]] if k == 1 else [0 if k == 2 else classes[k - 3], classes[k - 2], classes[k - 1]]
+            out.append(sum(x << (6 * (3 - j)) for j, x in enumerate([*context, classes[k]])))
+        past = (classes[-3] if len(classes) > 2 else 0, classes[-2])
+    return out
 
 
 def test_model_is_a_distribution():
