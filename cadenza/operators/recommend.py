@@ -6,7 +6,7 @@ user's candidates are cut to a bounded pool before anything sequential runs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.features import clamp, cosine
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
+from ..sources.files import load_json, save_json
 from .registry import query
 from .windows import rounded
 
@@ -38,6 +39,9 @@ class Scaler:
         r = rows.agg(*[g(f) for f in features for g in (F.avg, F.stddev_pop)]).first()
         return cls(tuple(float(x or 0) for x in r[::2]), tuple(float(x or 0) or 1.0 for x in r[1::2]))
 
+    def inverse(self, vector: Column) -> Column:
+        return F.array(*[F.element_at(vector, i + 1) * s + m for i, (m, s) in enumerate(zip(self.mean, self.scale, strict=True))])
+
     def vector(self, features: tuple[str, ...] = VECTOR) -> Column:
         return F.array(*[(F.col(f) - m) / s for f, m, s in zip(features, self.mean, self.scale, strict=True)])
 
@@ -70,6 +74,19 @@ class Projection:
         return F.array(*[at(axis) for axis in self.axes])
 
 
+def save_model(scaler: Scaler, axes: Projection, path: str) -> None:
+    """Both as one JSON document; a handful of numbers."""
+    save_json({"features": list(VECTOR), "scaler": asdict(scaler), "projection": asdict(axes)}, path)
+
+
+def load_model(path: str) -> tuple[Scaler, Projection]:
+    d = load_json(path)
+    if d.get("features") != list(VECTOR):
+        raise ValueError(f"{path}: a model of other features")
+    s, p = d["scaler"], d["projection"]
+    return Scaler(tuple(s["mean"]), tuple(s["scale"])), Projection(tuple(map(tuple, p["axes"])), tuple(p["ratios"]))
+
+
 def user_vectors(seeds: DataFrame, vectors: DataFrame) -> DataFrame:
     """(user_id, vector): weighted means of the seeds' vectors; seeds outside of the catalog are skipped, users without a
     known seed have no row. seeds: user_id, track_id, weight; vectors: track_id, vector."""
@@ -93,6 +110,18 @@ def candidates(users: DataFrame, catalog: DataFrame, excluded: DataFrame, pool:
     return out.drop("_part", "_n")
 
 
+def on_axes(axes: Projection) -> Column:
+    """Cosine of vector and user_vector in the space of the principal axes."""
+    return cosine(axes.apply(F.col("vector")), axes.apply(F.col("user_vector")))
+
+
+def without_artists(rows: DataFrame, banned: DataFrame) -> DataFrame:
+    """rows (user_id, artist_name) without those of artists that a user doesn't want (user_id, artist_name), whatever the case."""
+    key = F.lower(F.trim("artist_name"))
+    gone = banned.select(F.col("user_id").alias("_u"), key.alias("_a")).distinct()
+    return rows.join(gone, (F.col("user_id") == F.col("_u")) & (key == F.col("_a")), "left_anti")
+
+
 def popularity_prior(popularity: Column) -> Column:
     p = clamp(popularity / 100.0)
     return F.log1p(p * 100) / F.log(F.lit(101.0))
@@ -153,6 +182,29 @@ def explained(rows: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumns({"reasons": reasons, "explanation": sentence})
 
 
+def aligned_features(most: int = 3) -> Column:
+    """Of scaled vector and user_vector the features that differ least: (distance, feature, delta), nearest first."""
+    delta = lambda i: F.element_at("vector", i + 1) - F.element_at("user_vector", i + 1)
+    parts = [F.struct(F.round(F.abs(delta(i)), 3).alias("distance"), F.lit(i).alias("place"), F.lit(f).alias("feature"), F.round(delta(i), 3).alias("delta")) for i, f in enumerate(VECTOR)]
+    return F.slice(F.array_sort(F.array(*parts)), 1, most)
+
+
+#: From which value on a signal is mentioned.
+MENTION = {"genre": 0.15, "artist": 0.5, "novelty": 0.65}
+
+
+def narrative(best: Column) -> Column:
+    """Sentences about the signals that are large enough to be mentioned: genre_score, artist_score, novelty, matched_genres."""
+    way = F.when(best["delta"] > 0, "slightly higher ").when(best["delta"] < 0, "slightly lower ").otherwise("similar ")
+    parts = F.array(
+        F.concat(F.lit("Closely matches your profile on "), best["feature"], F.lit(" ("), way, best["feature"], F.lit(")")),
+        F.when((F.col("genre_score") >= MENTION["genre"]) & (F.size("matched_genres") > 0), F.concat(F.lit("Aligns with your "), F.array_join(F.slice("matched_genres", 1, 2), " and "), F.lit(" preference"))),
+        F.when(F.col("artist_score") >= MENTION["artist"], F.lit("From an artist in your listening history")),
+        F.when(F.col("novelty") >= MENTION["novelty"], F.lit("A less obvious discovery")),
+    )
+    return F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), ". "), F.lit("."))
+
+
 # Queries: embeddings stand for tracks (64 dimensions), the first vectors for users.
 
 _E = "with e as (select vec_id, label, embedding::double[] as v from embeddings)"
@@ -185,6 +237,15 @@ def sc_standard(c: Catalog) -> DataFrame:
     return rows.select("track_id", *[F.round(F.element_at(z, i + 1), 6).alias(f) for i, f in enumerate(VECTOR)])
 
 
+@query("sc_inverse", "select track_id, " + ", ".join(f"round({f} * 1.000000000001, 5) as {f}" for f in VECTOR) + " from audio_features")
+def sc_inverse(c: Catalog) -> DataFrame:
+    """Scaled and scaled back."""
+    rows = c.audio_features()
+    scaler = Scaler.fit(rows)
+    back = scaler.inverse(scaler.vector())
+    return rows.select("track_id", *[rounded(F.element_at(back, i + 1), 5).alias(f) for i, f in enumerate(VECTOR)])
+
+
 @query("sc_minmax", _Z + " select track_id, " + ", ".join(f"round(({f} - l_{f}) / coalesce(nullif(h_{f} - l_{f}, 0), 1), 6) as {f}" for f in VECTOR) + " from audio_features cross join s")
 def sc_minmax(c: Catalog) -> DataFrame:
     rows = c.audio_features()
@@ -210,29 +271,30 @@ def rec_popularity(c: Catalog) -> DataFrame:
     return c.tracks().select("track_id", F.round(prior, 6).alias("prior"), F.round(1 - prior, 6).alias("novelty"))
 
 
-def _users(c: Catalog) -> tuple[DataFrame, DataFrame, Scaler]:
-    """Scaled catalog vectors, and vectors of the users with the most likes."""
+def _users(c: Catalog) -> tuple[DataFrame, DataFrame, Projection]:
+    """Scaled catalog vectors, vectors of the users with likes, and the principal axes that both are compared on."""
     from .signals import likes
 
     rows = c.relation("tracks artists audio_features")
     scaler = Scaler.fit(rows)
+    axes = Projection.fit(rows, scaler)
     genres = c.relation("playlist_tracks genres").groupBy("track_id").agg(F.array_sort(F.collect_set("genre_name")).alias("genres"))
     catalog = rows.select("track_id", "artist_name", "track_popularity", scaler.vector().alias("vector")).join(genres, "track_id", "left")
     seeds = likes(c).select("user_id", "track_id", F.lit(1.0).alias("weight"))
-    return catalog, user_vectors(seeds, catalog.select("track_id", "vector")).withColumnRenamed("vector", "user_vector"), scaler
+    return catalog, user_vectors(seeds, catalog.select("track_id", "vector")).withColumnRenamed("vector", "user_vector"), axes
 
 
 def recommendations(c: Catalog, limit: int = 10) -> DataFrame:
     """Ranked and diversified recommendations with explanations for all users with likes."""
     from .signals import likes
 
-    catalog, users, _ = _users(c)
+    catalog, users, axes = _users(c)
     pool = candidates(users, catalog, likes(c).select("user_id", "track_id"))
     liked = likes(c).join(catalog, "track_id")
     tastes = liked.select("user_id", F.explode("genres").alias("g")).groupBy("user_id", "g").agg(F.count("*").alias("n"))
     tastes = tastes.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("user_id"))).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "pct"))).alias("profile_genres"))
     artists = liked.groupBy("user_id").agg(F.collect_set("artist_name").alias("top_artists"))
-    ranked = relevance(pool.withColumn("representation", F.col("similarity")).join(tastes, "user_id", "left").join(artists, "user_id", "left"))
+    ranked = relevance(pool.withColumn("representation", on_axes(axes)).join(tastes, "user_id", "left").join(artists, "user_id", "left"))
     chosen = diverse(ranked, limit)
     return explained(ranked.join(chosen, ["user_id", "track_id"])).select("user_id", "rank", "track_id", "artist_name", "track_popularity", F.round("similarity", 4).alias("similarity"), F.round("relevance", 4).alias("relevance"), F.round("score", 4).alias("score"), "reasons", "explanation")
 
@@ -242,8 +304,8 @@ def rec_rank6(c: Catalog) -> DataFrame:
     """Relevance of the users' pools by all six signals."""
     from .signals import likes
 
-    catalog, users, _ = _users(c)
-    rows = candidates(users, catalog, likes(c).select("user_id", "track_id"), 50).withColumns({"representation": F.col("similarity"), "profile_genres": F.create_map(F.lit("ASIA"), F.lit(60.0), F.lit("EUROPE"), F.lit(40.0)), "top_artists": F.array(F.lit("Customer#000000001"))})
+    catalog, users, axes = _users(c)
+    rows = candidates(users, catalog, likes(c).select("user_id", "track_id"), 50).withColumns({"representation": on_axes(axes), "profile_genres": F.create_map(F.lit("ASIA"), F.lit(60.0), F.lit("EUROPE"), F.lit(40.0)), "top_artists": F.array(F.lit("Customer#000000001"))})
     return relevance(rows).select("user_id", "track_id", F.round("relevance", 6).alias("relevance"), rounded(F.col("genre_score"), 6).alias("genre_score"), "artist_score")
 
 

@@ -35,7 +35,7 @@ def bounded(name: str, value: object) -> int:
 def clean_genre(value: object) -> str:
     """Letters, digits, spaces, hyphens and ampersands of a genre name, at most GENRE_LENGTH of them."""
     kept = "".join(ch for ch in str(value or "").lower() if ch.isascii() and (ch.isalnum() or ch in " -&"))
-    return kept[:GENRE_LENGTH].strip()
+    return kept.strip()[:GENRE_LENGTH].strip()
 
 
 def filtered(scored: DataFrame, limit: int, min_popularity: int = 0, genres: Iterable[str] = (), digits: int | None = None, relax: bool = True) -> DataFrame:
