@@ -114,17 +114,20 @@ def _meeting(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, cell[np.arange(len(t)), t]
 
 
-def links(vectors: DataFrame, lattice: Lattice) -> DataFrame:
-    """From distinct vectors (id long, n long, embedding array<float>): rows (id, n) with how many vectors are linked, counting
-    n for each, where other is null; and rows (id, other) with links that give the same components."""
-    keys = vectors.mapInArrow(_keyed(lattice), "id long, n long, embedding array<float>, t int, cell long, home boolean")
-    # Cells that one vector visits alone are left out before vectors are moved.
+def links(vectors: DataFrame, lattice: Lattice, staged: common.Staged) -> DataFrame:
+    """From distinct vectors (id long, n long, embedding): rows (id, n) with how many vectors are linked, counting n for each,
+    where other is null; and rows (id, other) with links that give the same components.
+
+    Cells are staged without the vectors. Those that one vector visits alone are left out, and only then a vector follows, once
+    for each block of a cell that it is compared in."""
+    keys = staged.write(vectors.select("id", "embedding").mapInArrow(_keyed(lattice), "id long, t int, cell long, home boolean"), "cells")
     size = keys.groupBy("t", "cell").agg(F.count("*").alias("_m"), F.max("home").alias("_home")).where((F.col("_m") > 1) & F.col("_home"))
     size = size.select(F.col("t").alias("_t"), F.col("cell").alias("_cell"), F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"))
-    shared = keys.join(size, (F.col("t") == F.col("_t")) & (F.col("cell") == F.col("_cell")))
+    shared = keys.join(size, (F.col("t") == F.col("_t")) & (F.col("cell") == F.col("_cell"))).drop("_t", "_cell")
     own = F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")
     shared = shared.withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    shared = shared.withColumn("low", F.least("b", "o")).withColumn("high", F.greatest("b", "o")).drop("o", "_t", "_cell", "_blocks")
+    shared = shared.withColumn("low", F.least("b", "o")).withColumn("high", F.greatest("b", "o")).drop("o", "_blocks")
+    shared = shared.join(vectors.select(F.col("id").alias("_id"), "n", "embedding"), F.col("id") == F.col("_id")).drop("_id")
     order = ["t", "cell", "low", "high"]
     spread = shared.repartition(common.partitions(vectors.sparkSession), *order).sortWithinPartitions(*order)
     return spread.mapInArrow(_compared(lattice), "id long, n long, other long")
@@ -139,7 +142,7 @@ def _keyed(lattice: Lattice):
             t = np.tile(np.repeat(np.arange(tables), many), n)
             home = np.tile(np.arange(many) == 0, n * tables)
             # A neighbour that is the own cell again can't be; equal neighbours can't be either.
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(row) for k in range(3)), pa.array(t, pa.int32()), pa.array(cells.ravel()), pa.array(home)], names=["id", "n", "embedding", "t", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([b.column("id").take(row), pa.array(t, pa.int32()), pa.array(cells.ravel()), pa.array(home)], names=["id", "t", "cell", "home"])
 
     return run
 
@@ -195,7 +198,8 @@ def near_duplicates(vectors: DataFrame, lattice: Lattice | None = None, id_col:
     spark = vectors.sparkSession
     staged = common.Staged(spark, "e8")
     e = F.col("embedding")
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<float>").alias("embedding"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"  # wider input stays wide
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast(kind).alias("embedding"))
     bad = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.coalesce(~bad & F.exists(e, lambda x: x != 0), F.lit(False))
     key = [F.when(fine, F.xxhash64(F.lit(k), e)).alias(f"h{k}") for k in (1, 2)]
@@ -204,7 +208,7 @@ def near_duplicates(vectors: DataFrame, lattice: Lattice | None = None, id_col:
     classes = staged.write(classes, "classes")
     found = []
     for (dim,) in classes.select("dim").distinct().collect():  # one run for each length of vectors
-        found.append(links(classes.where(F.col("dim") == dim).select(F.col("class").alias("id"), "n", "embedding"), lattice))
+        found.append(links(classes.where(F.col("dim") == dim).select(F.col("class").alias("id"), "n", "embedding"), lattice, staged))
     found = found or [spark.createDataFrame([], "id long, n long, other long")]
     out = found[0]
     for more in found[1:]:
