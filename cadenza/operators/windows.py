@@ -165,3 +165,47 @@ def genre_radar(c: Catalog) -> DataFrame:
 @query("eda_subgenres", "select genre_name, list(distinct subgenre_name order by subgenre_name)::varchar[] as subgenres from genres group by 1".replace("list(distinct subgenre_name order by subgenre_name)::varchar[]", "string_agg(distinct subgenre_name, '|' order by subgenre_name)"))
 def subgenres(c: Catalog) -> DataFrame:
     return c.genres().groupBy("genre_name").agg(F.array_join(F.array_sort(F.collect_set("subgenre_name")), "|").alias("subgenres"))
+
+
+# Reports whose plan is worth writing by hand; the SQL they are compared to stays that of the report.
+
+
+def _track_genres(c: Catalog) -> DataFrame:
+    """(track_id, n, genres): in how many playlists a track appears, and its different genres (as many as there are)."""
+    genres = F.broadcast(c.genres().select("genre_id", "genre_name")) if c.genres().count() <= 10_000 else c.genres().select("genre_id", "genre_name")
+    return c.playlist_tracks().join(genres, "genre_id").groupBy("track_id").agg(F.count("*").alias("n"), F.collect_set("genre_name").alias("genres"))
+
+
+@query("q18b_cross_genre_artists")
+def cross_genre_artists(c: Catalog, least: int = 3, most: int = 30) -> DataFrame:
+    """Artists of three genres or more. Appearances are summed up by track first, so that an artist's tracks are different rows."""
+    tracks = c.tracks().select("track_id", "artist_id", "track_popularity").join(_track_genres(c), "track_id").join(c.artists(), "artist_id")
+    per = tracks.groupBy("artist_name").agg(F.count("*").alias("total_tracks"), F.sum(F.col("track_popularity") * F.col("n")).alias("s"), F.sum(F.when(F.col("track_popularity").isNotNull(), F.col("n"))).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("genres")))).alias("g"))
+    rows = per.where(F.size("g") >= least)
+    rows = rows.select("artist_name", F.size("g").cast("long").alias("genre_count"), F.array_join("g", ", ").alias("genres_list"), "total_tracks", rounded(F.col("s") / F.col("w"), 1).alias("avg_popularity"))
+    return rows.orderBy(F.desc("genre_count"), F.desc_nulls_last("avg_popularity"), "artist_name").limit(most)
+
+
+@query("q15_top_tracks")
+def top_tracks(c: Catalog, most: int = 25) -> DataFrame:
+    """The most popular tracks; only theirs are joined to features and genres."""
+    listed = c.playlist_tracks().select("track_id").distinct()
+    some = c.tracks().join(c.artists(), "artist_id").join(listed, "track_id", "left_semi").join(c.raw("lineitem").select(F.col("l_orderkey").alias("track_id")), "track_id", "left_semi")
+    top = some.orderBy(F.desc_nulls_last("track_popularity"), "track_id").limit(most)
+    keys = F.broadcast(top.select("track_id"))  # `most` rows
+    features = Catalog.audio_features(_Few(c, keys))
+    lists = _Few(c, keys).playlist_tracks().join(c.genres(), "genre_id").groupBy("track_id").agg(F.array_join(F.array_sort(F.collect_set("genre_name")), ", ").alias("genres"))
+    rows = top.join(c.albums(), "album_id", "left").join(features, "track_id").join(lists, "track_id").orderBy(F.desc_nulls_last("track_popularity"), "track_id")
+    return rows.select("track_name", "artist_name", "album_name", "release_year", "track_popularity", "duration_min", "danceability", "energy", "valence", "tempo", "genres")
+
+
+class _Few(Catalog):
+    """A catalog whose line items are those of some tracks."""
+
+    def __init__(self, c: Catalog, keys: DataFrame):
+        super().__init__(c.spark, c.folder)
+        self.keys = keys
+
+    def raw(self, name: str) -> DataFrame:
+        df = super().raw(name)
+        return df.join(self.keys, df["l_orderkey"] == self.keys["track_id"], "left_semi") if name == "lineitem" else df
