@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (u long, v long); component is the smallest node reachable.
+def components(edges: DataFrame, rounds: int | None = None, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of edges (u long, v long); component is the smallest node reachable. With rounds, so many
+    are run and no more: nodes with one component are then connected, but connected nodes may still have different ones.
 
     Loops and repeated edges do no harm; nulls are dropped; no edges give no rows. Each round groups by node with partial
     aggregation and joins on it, so a node with very many links is summed up in parts and its join can be split. Rounds are
@@ -21,7 +22,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     clean = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = staged.write(clean, "edges")
     before = None
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         # Large star: neighbours above a node move to the smallest of it and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
@@ -33,6 +34,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = staged.write(small, "edges")
         staged.drop(now)
         now = after
+        if n + 1 == rounds:
+            both = now.unionByName(now.select(F.col("v").alias("u"), "v"))
+            return staged.keep(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")))
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break

@@ -144,7 +144,7 @@ def _links(sketch: DataFrame, shared: DataFrame, held: DataFrame, staged: common
     links = staged.write(_verified(stars, texts), "links")
     # Buckets of one component are settled; in the others lines meet again in ever smaller parts.
     for depths in DEPTHS:
-        known = components(links).select(F.col("node").alias("_n"), "component")
+        known = staged.write(components(links, rounds=2).select(F.col("node").alias("_n"), "component"), "known")
         placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "b", "key", F.coalesce("component", "k").alias("c"))
         placed = staged.write(placed, "placed")
         open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
@@ -154,7 +154,7 @@ def _links(sketch: DataFrame, shared: DataFrame, held: DataFrame, staged: common
         apart = pairs.join(known, F.col("u") == F.col("_n"), "left").select("u", "v", F.coalesce("component", "u").alias("cu"))
         apart = apart.join(known, F.col("v") == F.col("_n"), "left").where(F.col("cu") != F.coalesce("component", "v")).select("u", "v")
         more = staged.write(links.unionByName(_verified(apart, texts)), "links")
-        staged.drop(placed, links)
+        staged.drop(placed, links, known)
         links = more
     staged.drop(texts)
     return components(links)
