@@ -5,13 +5,12 @@ from __future__ import annotations
 from math import exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
 from .registry import query
-from .windows import rounded
+from .windows import rounded, running_total
 
 _LONG = "select * from (unpivot (select {} from audio_features) on {} into name feature value x)".format(", ".join(VECTOR), ", ".join(VECTOR))
 
@@ -97,10 +96,10 @@ def st_pearson_matrix(c: Catalog) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, name): the average rank of each different value. Only counts of different values are ordered."""
+    """(value, name): the average rank of each different value. Only counts of different values are ordered, in parts."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(F.col(value).alias(f"_{value}"), (before + (F.col("_t") + 1) / 2).alias(name), F.col("_t").alias(f"{name}_ties"))
+    counts = running_total(counts, [value], "_t", "_up_to")
+    return counts.select(F.col(value).alias(f"_{value}"), (F.col("_up_to") + (F.col("_t") + 1) / 2).alias(name), F.col("_t").alias(f"{name}_ties"))
 
 
 @query(

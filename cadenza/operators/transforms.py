@@ -11,6 +11,7 @@ from ..functions.features import archetype_sql
 from ..schema import FEATURES
 from ..sources.catalog import Catalog
 from .registry import query
+from .windows import running_total
 
 #: Texts that mean null in raw files.
 NULLS = ("nan", "None", "NULL", "")
@@ -55,11 +56,12 @@ def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
 def star(cleaned: DataFrame, order: str) -> dict[str, DataFrame]:
     """Dimension and fact tables of cleaned rows; order: a column with the place of each source row.
 
-    Surrogate ids follow the order of natural keys. Numbering a dimension sorts its distinct keys, in range partitions.
+    Surrogate ids follow the order of natural keys. Numbering a dimension sorts its distinct keys in parts, see running_total().
     """
 
     def ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return df.select(*keys).distinct().withColumn(name, F.row_number().over(W.orderBy(*keys)))
+        once = df.select(*keys).distinct().withColumn("_one", F.lit(1))
+        return running_total(once, keys, "_one", name).withColumn(name, (F.col(name) + 1).cast("int")).drop("_one")
 
     genres = ids(cleaned, ["playlist_genre", "playlist_subgenre"], "genre_id")
     artists = ids(cleaned.withColumnRenamed("track_artist", "artist_name"), ["artist_name"], "artist_id")

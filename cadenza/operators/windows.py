@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,6 +18,32 @@ def rounded(column, digits: int):
     return F.round(column * TIE, digits)
 
 
+#: Parts in which rows are put in order over a whole table, and the keys that are looked at to cut them.
+PARTS, LOOKED_AT = 64, 2048
+
+
+def part_of(rows: DataFrame, keys: list[str]) -> Column:
+    """A number (0 to PARTS - 1) that grows with the keys' order: rows are cut at keys that a hash picks, LOOKED_AT at most."""
+    some = rows.select(*keys).distinct().orderBy(F.xxhash64(*keys)).limit(LOOKED_AT).orderBy(*keys).collect()
+    cuts = some[:: max(1, LOOKED_AT // PARTS)][1:]
+    if not cuts:
+        return F.lit(0)
+    kinds = dict(rows.dtypes)
+    row = lambda r: F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys])
+    return F.size(F.filter(F.array(*[row(r) for r in cuts]), lambda c: c <= F.struct(*keys)))
+
+
+def running_total(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with the total of value over all rows that come before in the keys' order; keys are different. No task sees more
+    than a part of the rows: totals are made inside of parts, and moved up by the totals of the parts before."""
+    dealt = rows.withColumn("_part", part_of(rows, keys))
+    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # PARTS rows
+    sums = sums.select(F.col("_part").alias("_of"), before.alias("_before"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_in", inside).join(F.broadcast(sums), F.col("_part") == F.col("_of")).withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_of", "_before", "_in")
+
+
 @query(
     "q17a_artist_rank_in_genre",
     """with a as (select artist_name, genre_name, count(distinct track_id) as tracks_in_genre, round(avg(track_popularity) * 1.000000000001, 1) as avg_popularity
