@@ -124,7 +124,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, model: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """token_pieces() and pack() over whole documents; the pieces are computed once and staged."""
+    """token_pieces() and pack() over whole documents; the pieces are computed once and staged.
+
+    A null text is an empty one: the end id alone, one piece. Repeated rows are packed once each; texts of any length are packed
+    whole; an empty table gives no rows; other columns aren't read, whatever their names.
+    """
     staged = common.Staged(docs.sparkSession, "packing")
     return staged.keep(pack(staged.write(token_pieces(docs, model, capacity, end_id, id_col, text_col), "pieces"), capacity))
 
