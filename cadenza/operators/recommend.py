@@ -284,19 +284,45 @@ def _users(c: Catalog) -> tuple[DataFrame, DataFrame, Projection]:
     return catalog, user_vectors(seeds, catalog.select("track_id", "vector")).withColumnRenamed("vector", "user_vector"), axes
 
 
+def recommend_from(catalog: DataFrame, users: DataFrame, axes: Projection, excluded: DataFrame, limit: int = 10, banned: DataFrame | None = None) -> DataFrame:
+    """Ranked and diversified recommendations with explanations for any vectors: of users, of pairs, of personas.
+
+    users: user_id, user_vector, profile_genres (map of per cents), top_artists (array); excluded: user_id, track_id; banned:
+    user_id, artist_name. Without vector a user has no rows: see by_resolution.
+    """
+    pool = candidates(users.where(F.col("user_vector").isNotNull()).select("user_id", "user_vector"), catalog, excluded)
+    if banned is not None:
+        pool = without_artists(pool, banned)
+    ranked = relevance(pool.withColumn("representation", on_axes(axes)).join(users.drop("user_vector"), "user_id", "left"))
+    chosen = diverse(ranked, limit)
+    return explained(ranked.join(chosen, ["user_id", "track_id"])).select("user_id", "rank", "track_id", "artist_name", "track_popularity", F.round("similarity", 4).alias("similarity"), F.round("relevance", 4).alias("relevance"), F.round("score", 4).alias("score"), "reasons", "explanation")
+
+
+def by_resolution(users: DataFrame, mode: str = "auto", least: str = "developing") -> DataFrame:
+    """users (enhanced, preference, liked: arrays or null; status) with user_vector and why: the first vector that may be used.
+    Where there is none, why is popularity and the vector null."""
+    from .listeners import resolved_vector
+
+    vector, why = resolved_vector(mode, least)
+    return users.withColumns({"user_vector": vector, "why": why})
+
+
+def embedded(users: DataFrame, axes: Projection) -> DataFrame:
+    """users (user_id, user_vector) with their place on the principal axes."""
+    return users.withColumn("embedding", axes.apply(F.col("user_vector")))
+
+
 def recommendations(c: Catalog, limit: int = 10) -> DataFrame:
-    """Ranked and diversified recommendations with explanations for all users with likes."""
+    """Recommendations for all users with likes."""
     from .signals import likes
 
     catalog, users, axes = _users(c)
-    pool = candidates(users, catalog, likes(c).select("user_id", "track_id"))
     liked = likes(c).join(catalog, "track_id")
     tastes = liked.select("user_id", F.explode("genres").alias("g")).groupBy("user_id", "g").agg(F.count("*").alias("n"))
     tastes = tastes.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("user_id"))).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "pct"))).alias("profile_genres"))
     artists = liked.groupBy("user_id").agg(F.collect_set("artist_name").alias("top_artists"))
-    ranked = relevance(pool.withColumn("representation", on_axes(axes)).join(tastes, "user_id", "left").join(artists, "user_id", "left"))
-    chosen = diverse(ranked, limit)
-    return explained(ranked.join(chosen, ["user_id", "track_id"])).select("user_id", "rank", "track_id", "artist_name", "track_popularity", F.round("similarity", 4).alias("similarity"), F.round("relevance", 4).alias("relevance"), F.round("score", 4).alias("score"), "reasons", "explanation")
+    users = users.join(tastes, "user_id", "left").join(artists, "user_id", "left")
+    return recommend_from(catalog, users, axes, likes(c).select("user_id", "track_id"), limit)
 
 
 @query("rec_rank6")

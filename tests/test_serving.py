@@ -80,3 +80,26 @@ def test_unwanted_artists(spark):
     rows = spark.createDataFrame([(1, "A "), (1, "b"), (2, "a"), (1, None)], "user_id int, artist_name string")
     banned = spark.createDataFrame([(1, "a")], "user_id int, artist_name string")
     assert sorted((r.user_id, r.artist_name or "") for r in recommend.without_artists(rows, banned).collect()) == [(1, ""), (1, "b"), (2, "a")]
+
+
+def test_vectors_are_resolved_and_embedded(spark):
+    rows = [(1, [1.0], [2.0], [3.0], "established"), (2, [1.0], [2.0], None, "limited"), (3, None, None, [3.0], None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "user_id int, enhanced array<double>, preference array<double>, liked array<double>, status string")
+    got = {r.user_id: (r.user_vector, r.why) for r in recommend.by_resolution(df).collect()}
+    assert got == {1: ([1.0], "enhanced"), 2: ([2.0], "preference"), 3: ([3.0], "liked"), 4: (None, "popularity")}
+    axes = recommend.Projection(((0.0, 1.0), (1.0, 1.0)), (0.6, 0.4))
+    users = spark.createDataFrame([(1, [2.0, 5.0])], "user_id int, user_vector array<double>")
+    assert recommend.embedded(users, axes).first().embedding == [5.0, 7.0]
+
+
+def test_recommendations_of_any_vector(spark):
+    c = Catalog(spark, FOLDER)
+    catalog, users, axes = recommend._users(c)
+    one = users.limit(1).withColumns({"profile_genres": F.lit(None).cast("map<string,double>"), "top_artists": F.lit(None).cast("array<string>")})
+    one = spark.createDataFrame(one.collect(), one.schema)
+    none = spark.createDataFrame([], "user_id long, track_id long")
+    first = recommend.recommend_from(catalog, one, axes, none, 5).collect()
+    assert [r["rank"] for r in sorted(first, key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+    banned = spark.createDataFrame([(r.user_id, r.artist_name) for r in first], "user_id long, artist_name string")
+    again = recommend.recommend_from(catalog, one, axes, none, 5, banned).collect()
+    assert not {r.artist_name for r in first} & {r.artist_name for r in again} and len(again) == 5
