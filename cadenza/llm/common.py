@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import site
 import tempfile
@@ -73,6 +74,7 @@ class Staged:
     def keep(self, df: DataFrame) -> DataFrame:
         """The tables that are left stay as long as the application, since any DataFrame made from df reads them."""
         self.paths.clear()
+        gc.collect()  # plans that Python no longer needs are freed in the driver's JVM too
         atexit.register(_remove_quietly, self.spark, self.root)
         return df
 

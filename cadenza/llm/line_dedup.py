@@ -27,7 +27,7 @@ DEPTHS, ORDERS = ((2,), (4, 6, 8)), 3
 #: Windows that one row of the sketch hashes.
 STEP = 12
 #: Bits of a filter that leaves out lines before they are shuffled: a table of at most FILTER_BITS / 64 rows, whatever the input.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 22
 _VALUES = BANDS * ROWS
 #: A value reads the shingle's hash from one of these bits on, so that neighbouring values order shingles independently.
 _SHIFTS = (0, 11, 22, 33)
