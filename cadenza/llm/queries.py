@@ -12,6 +12,8 @@ from .sentencepiece_codec import op7_sentencepiece
 from .slack_packing import op6_slack_packing
 from .token_count import op9_token_counts
 from .toxicity_cnn import op1_toxicity_cnn
+from .wavelet_search import ORACLE as OP11_SQL
+from .wavelet_search import op11_wavelet_search
 
 QUERIES = {
     f.__name__: f
@@ -26,6 +28,7 @@ QUERIES = {
         op8_bayes_jaccard,
         op9_token_counts,
         op10_kneser_ney,
+        op11_wavelet_search,
     )
 }
 
@@ -35,4 +38,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_wavelet_search": OP11_SQL}
