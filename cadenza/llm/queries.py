@@ -7,9 +7,12 @@ from .e8_neardup import op5_e8_neardup
 from .kd_shards import op3_kd_shards
 from .kneser_ney import op10_kneser_ney
 from .line_dedup import op2_line_dedup
+from .maxent_lm import op13_maxent_lm
 from .ranked_varint import op4_ranked_varint
 from .sentencepiece_codec import op7_sentencepiece
 from .slack_packing import op6_slack_packing
+from .source_audit import ORACLE as OP12_SQL
+from .source_audit import op12_source_audit
 from .token_count import op9_token_counts
 from .toxicity_cnn import op1_toxicity_cnn
 from .wavelet_search import ORACLE as OP11_SQL
@@ -29,6 +32,8 @@ QUERIES = {
         op9_token_counts,
         op10_kneser_ney,
         op11_wavelet_search,
+        op12_source_audit,
+        op13_maxent_lm,
     )
 }
 
@@ -38,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_wavelet_search": OP11_SQL}
+    return {"op11_wavelet_search": OP11_SQL, "op12_source_audit": OP12_SQL}
