@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,9 +37,24 @@ CLASSES = (
 )
 
 
+def _composed() -> str:
+    """A pattern for ASCII letters that Unicode composes with a mark behind them into one character (NFC), by Unicode's own table."""
+    letters: dict[str, str] = {}
+    for code in range(0xA0, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0] in string.ascii_letters and unicodedata.normalize("NFC", parts[0] + parts[1]) != parts[0] + parts[1]:
+            letters[parts[1]] = "".join(sorted({*letters.get(parts[1], ""), parts[0]}))
+    return "|".join(rf"[{found}]\p{{Mn}}*?\x{{{ord(mark):x}}}" for mark, found in sorted(letters.items()))
+
+
+COMPOSED = _composed()
+
+
 def normalized(c: Column) -> Column:
-    """Lower case, everything but ASCII letters, digits and underscores a space, single spaces, trimmed; null is empty."""
-    plain = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9_\s]", " ")
+    """Lower case, everything but ASCII letters, digits and underscores a space, single spaces, trimmed; null is empty. A letter
+    and its accent are one character, however they are written, and so a space."""
+    one = F.regexp_replace(F.coalesce(c, F.lit("")), COMPOSED, " ")
+    plain = F.regexp_replace(F.lower(one), r"[^a-z0-9_\s]", " ")
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
@@ -58,6 +75,21 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
 
 
+#: Characters of normalised texts, in the order of their codes.
+ALPHABET = " _" + string.digits + string.ascii_lowercase
+GRAMS = len(ALPHABET) ** 3
+
+
+def gram_codes(c: Column) -> Column:
+    """The different trigrams of a normalised text as numbers below GRAMS."""
+    code = lambda g: (_place(g, 1) * len(ALPHABET) + _place(g, 2)) * len(ALPHABET) + _place(g, 3)
+    return F.transform(trigrams(c), code)
+
+
+def _place(gram: Column, k: int) -> Column:
+    return F.call_function("locate", F.substring(gram, F.lit(k), F.lit(1)), F.lit(ALPHABET)) - 1
+
+
 def dice(a: Column, b: Column) -> Column:
     """Dice similarity of trigrams: 1 for equal texts, 0 if one is empty."""
     x, y = trigrams(a), trigrams(b)

@@ -72,11 +72,11 @@ def value_counts(rows: DataFrame, by: list[str], value: str, most: int | None =
 
 
 _SIGNAL = "with " + SIGNALS_SQL
-_SKEW = "case when abs(s) < 0.5 then 'approximately symmetric' when abs(s) <= 1 then 'moderately skewed (' || case when s > 0 then 'positive' else 'negative' end || ')' when s is not null then 'highly skewed (' || case when s > 0 then 'positive/right' else 'negative/left' end || ')' end"
+SKEW_SQL = "case when abs(s) < 0.5 then 'approximately symmetric' when abs(s) <= 1 then 'moderately skewed (' || case when s > 0 then 'positive' else 'negative' end || ')' when s is not null then 'highly skewed (' || case when s > 0 then 'positive/right' else 'negative/left' end || ')' end"
 _STRENGTH = "case when abs(r) < 0.1 then 'negligible' when abs(r) < 0.3 then 'weak' when abs(r) < 0.5 then 'moderate' when r is not null then 'strong' end"
 
 
-@query("st_skew_labels", "with x as (select genre_name, skewness(track_popularity) as s from tracks join playlist_tracks using (track_id) join genres using (genre_id) group by 1) select genre_name, round(s, 3) as skewness, " + _SKEW + " as label from x")
+@query("st_skew_labels", "with x as (select genre_name, skewness(track_popularity) as s from tracks join playlist_tracks using (track_id) join genres using (genre_id) group by 1) select genre_name, round(s, 3) as skewness, " + SKEW_SQL + " as label from x")
 def st_skew_labels(c: Catalog) -> DataFrame:
     from .statistics import adjusted_skewness
 

@@ -1,114 +1,256 @@
 """Entity resolution of outside listening records: exact id, normalised text, text without version suffixes, fuzzy text.
 
-Each stage is an equi-join of what the stages before left open; the fuzzy stage compares within an artist's block alone.
+Each stage is one staged pass over what the stages before left open. The fuzzy stage is a set-similarity join inside of an
+artist: texts are sets of trigrams, rarest first; two sets that are similar enough share one of their first few trigrams, so
+those alone are joined, and pairs whose sizes or places rule them out are dropped before their sets are compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.staged import Steps
 from ..sources.catalog import Catalog
 from .registry import query
 
-#: Confidence of a resolved and of an ambiguous match in each stage, the fuzzy threshold, its tie band, the duration tolerance.
-CONFIDENCE = {"exact": (1.0, 1.0), "normalized": (0.95, 0.90), "variant": (0.85, 0.75)}
-THRESHOLD, BAND, DURATION = 0.82, 0.02, 3000
+#: Confidence of a resolved and of an ambiguous match in each stage, the fuzzy threshold and its tie band in per
+#: cent, the duration tolerance in milliseconds.
+CONFIDENCE = {"exact_id": (1.0, 1.0), "normalized_exact": (0.95, 0.90), "variant_normalized": (0.85, 0.75)}
+PER_CENT, BAND, DURATION = 82, 0.02, 3000
+#: Postings of one trigram of one artist beyond which both sides of the join are salted.
+HOT = 20_000
 
 
 def resolved(pairs: DataFrame) -> DataFrame:
-    """One candidate for each record of pairs (record_id, its album_name and duration_ms; track_id, track_popularity, and the
-    track's t_album, t_duration, t_year, t_score): the pool is narrowed by album, duration, popularity, earliest year.
-    ambiguous: more than one is left; then the smallest id is taken."""
-    by = W.partitionBy("record_id")
+    """(record_id, track_id, ambiguous): one candidate for each record.
 
-    def narrow(df: DataFrame, good) -> DataFrame:
-        some = F.max(F.when(good, 1).otherwise(0)).over(by)
-        return df.withColumn("_ok", F.when(good, 1).otherwise(0)).withColumn("_some", some).where("_ok = 1 or _some = 0").drop("_ok", "_some")
+    pairs: record_id, _album (normalised; empty: unknown), duration_ms, track_id, t_album, t_duration, t_popularity, t_year,
+    t_score. Candidates of the record's album go before others, then those of its duration, then the most popular. One that is
+    left, or the only one with a year, is sure; else the earliest year, the best score and the smallest id decide, and it is
+    ambiguous. Narrowing a pool by "those that fit, if any do" is an order, so both steps are sums that tasks begin."""
+    album = F.coalesce((F.col("_album") != "") & (F.col("_album") == F.col("t_album")), F.lit(False))
+    near = F.coalesce(F.abs(F.col("duration_ms") - F.col("t_duration")) <= DURATION, F.lit(False))
+    best = F.min(F.struct(F.coalesce("t_year", F.lit(99999)).alias("year"), (-F.col("t_score")).alias("score"), "track_id"))
+    tied = pairs.groupBy("record_id", album.alias("album"), near.alias("near"), "t_popularity").agg(F.count("*").alias("n"), F.count("t_year").alias("dated"), best.alias("best"))
+    top = tied.groupBy("record_id").agg(F.max_by(F.struct("n", "dated", "best"), F.struct("album", "near", "t_popularity")).alias("top"))
+    return top.select("record_id", F.col("top.best.track_id").alias("track_id"), ((F.col("top.n") > 1) & (F.col("top.dated") != 1)).alias("ambiguous"))
 
-    left = pairs.withColumn("_n", F.count("*").over(by))
-    left = narrow(left, (F.col("_n") > 1) & (text.normalized(F.col("album_name")) == text.normalized(F.col("t_album"))) & F.col("album_name").isNotNull())
-    left = narrow(left, F.abs(F.col("duration_ms") - F.col("t_duration")) <= DURATION)
-    left = narrow(left, F.col("track_popularity") == F.max("track_popularity").over(by))
-    left = narrow(left, F.col("t_year") == F.min("t_year").over(by))
-    left = left.withColumn("ambiguous", F.count("*").over(by) > 1)
-    return left.withColumn("_k", F.row_number().over(by.orderBy(F.desc("t_score"), "track_id"))).where("_k = 1").drop("_k", "_n")
 
+def _sets(df: DataFrame, ranks: DataFrame) -> DataFrame:
+    """df (artist, text) with the text's trigrams by rank, and how many there are; ranks: one row."""
+    grams = F.array_sort(F.transform(text.gram_codes(F.col("text")), lambda g: F.get("ranks", g)))
+    return df.crossJoin(F.broadcast(ranks)).select(F.monotonically_increasing_id().alias("id"), "artist", "text", grams.alias("grams")).withColumn("size", F.size("grams"))
 
-def match(records: DataFrame, tracks: DataFrame) -> DataFrame:
-    """records: record_id, outside_id, track_name, artist_name, album_name, duration_ms. tracks: track_id, track_name,
-    artist_name, album_name, duration_ms, release_year, track_popularity.
 
-    Returns a row for each record: record_id, track_id (null: none), match_status, confidence, matching_method.
+def _first(sets: DataFrame) -> DataFrame:
+    """(artist, gram, id, size, at): the grams of each set of which a similar set has at least one. A set of n grams shares
+    82 n / 118 with any that is similar enough, so it is found without the last of them."""
+    least = F.ceil(F.col("size") * PER_CENT / F.lit(200 - PER_CENT) - 1e-9).cast("int")
+    rows = sets.select("artist", "id", "size", F.posexplode(F.slice("grams", F.lit(1), F.col("size") - least + 1)).alias("at", "gram"))
+    return rows.select("artist", "gram", "id", "size", "at")
+
+
+def similar_texts(left: DataFrame, right: DataFrame, steps: Steps, hot: int = HOT) -> DataFrame:
+    """(artist, left, right, dice) for the texts of left and right (artist, text: normalised, not empty) with a Dice similarity of
+    trigrams of 0.82 or more.
+
+    Ranks order all possible trigrams by how many texts of right have them; there are text.GRAMS of them, so one row holds
+    the ranks. A trigram of an artist that very many texts of right begin with is dealt to salted parts.
+    """
+    spark = left.sparkSession
+    left = left.distinct()
+    right = right.join(left.select("artist").distinct(), "artist", "left_semi").distinct()
+    found = right.select(F.explode(text.gram_codes(F.col("text"))).alias("g")).groupBy("g").agg(F.count("*").alias("n")).toPandas()
+    often = np.zeros(text.GRAMS, np.int64)
+    often[found["g"].to_numpy(int)] = found["n"].to_numpy(int)
+    order = np.empty(text.GRAMS, np.int64)
+    order[np.argsort(often, kind="stable")] = np.arange(text.GRAMS)
+    ranks = spark.createDataFrame([(order.tolist(),)], "ranks array<int>")
+    left, right = steps.write(_sets(left, ranks)), steps.write(_sets(right, ranks))
+
+    theirs, mine = _first(right), _first(left)
+    parts = steps.write(theirs.groupBy("artist", "gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("artist").alias("_a"), F.col("gram").alias("_g"), F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    on = (F.col("artist") == F.col("_a")) & (F.col("gram") == F.col("_g"))
+    count = F.coalesce("parts", F.lit(1))
+    theirs = theirs.join(parts, on, "left").select("artist", "gram", F.pmod(F.xxhash64("id"), count).cast("int").alias("part"), F.col("id").alias("right"), F.col("size").alias("b"), F.col("at").alias("bt"))
+    mine = mine.join(parts, on, "left").select("artist", "gram", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"), F.col("id").alias("left"), F.col("size").alias("a"), F.col("at").alias("ta"))
+    # What a pair can share at most: all before the common gram, itself, and all after it on the shorter side.
+    most = F.least("ta", "bt") + 1 + F.least(F.col("a") - F.col("ta"), F.col("b") - F.col("bt")) - 1
+    met = mine.join(theirs, ["artist", "gram", "part"]).where(200 * F.least("a", "b") >= PER_CENT * (F.col("a") + F.col("b"))).where(200 * most >= PER_CENT * (F.col("a") + F.col("b")))
+    met = met.groupBy("left", "right").agg(F.first("artist").alias("artist"))
+    full = lambda df, name: df.select(F.col("id").alias(name), F.col("grams").alias(f"{name}_grams"), F.col("text").alias(f"{name}_text"))
+    both = met.join(full(left, "left"), "left").join(full(right, "right"), "right")
+    shared = F.size(F.array_intersect("left_grams", "right_grams"))
+    dice = 2 * shared / (F.size("left_grams") + F.size("right_grams"))
+    return steps.write(both.select("artist", F.col("left_text").alias("left"), F.col("right_text").alias("right"), dice.alias("dice")).where(F.col("dice") >= PER_CENT / 100))
+
+
+def _forms(artist: str) -> Column:
+    """A name, and the name without a leading article, both normalised."""
+    return F.array_distinct(F.array(text.normalized(F.col(artist)), text.artist(F.col(artist))))
+
+
+def _sides(df: DataFrame, key: str, forms: str, name: str, variant: str) -> DataFrame:
+    """(key, artist, side, text): both forms of a title under each form of its artist; what is empty has no row."""
+    side = F.explode(F.array(F.struct(F.lit("n").alias("side"), F.col(name).alias("text")), F.struct(F.lit("v").alias("side"), F.col(variant).alias("text")))).alias("s")
+    return df.select(key, F.explode(forms).alias("artist"), name, variant).select(key, "artist", side).select(key, "artist", "s.side", "s.text").where("artist <> '' and text <> ''")
+
+
+def _near(open_: DataFrame, known: DataFrame, steps: Steps, hot: int) -> DataFrame:
+    """(record_id, track_id, t_score): the tracks of a record's artist within the tie band of the most similar one."""
+    mine = steps.write(_sides(open_, "record_id", "_forms", "_name", "_variant"))
+    theirs = _sides(known, "track_id", "t_forms", "t_name", "t_variant")
+    theirs = steps.write(theirs.join(mine.select("artist").distinct(), "artist", "left_semi"))
+    texts = similar_texts(mine.select("artist", "text"), theirs.select("artist", "text"), steps, hot)
+    mine = mine.select("record_id", "artist", F.col("side").alias("my_side"), F.col("text").alias("left"))
+    theirs = theirs.select("track_id", "artist", F.col("side").alias("their_side"), F.col("text").alias("right"))
+    pairs = texts.join(mine, ["artist", "left"]).join(theirs, ["artist", "right"]).where("my_side = 'n' or their_side = 'v'")
+    pairs = pairs.groupBy("record_id", "track_id").agg(F.max("dice").alias("t_score"))
+    return pairs.withColumn("best", F.max("t_score").over(W.partitionBy("record_id"))).where(F.col("t_score") >= F.col("best") - BAND)
+
+
+def match(records: DataFrame, tracks: DataFrame, hot: int = HOT) -> DataFrame:
+    """records: record_id (a key), outside_id, track_name, artist_name, album_name, duration_ms. tracks: track_id (a key),
+    track_name, artist_name, album_name, duration_ms, release_year, track_popularity.
+
+    Returns a row for each record: record_id, track_id (null: none), match_status, confidence, matching_method. Both sides
+    have one normaliser; artists agree if one of their forms, with and without article, does; titles and ids that are null or
+    empty match nothing.
     """
-    known = tracks.select("track_id", "track_popularity", F.col("album_name").alias("t_album"), F.col("duration_ms").alias("t_duration"), F.col("release_year").alias("t_year"), F.lit(1.0).alias("t_score"), text.normalized(F.col("track_name")).alias("t_name"), text.without_suffixes(F.col("track_name")).alias("t_variant"), text.normalized(F.col("artist_name")).alias("t_artist"), text.artist(F.col("artist_name")).alias("t_bare"))
-    open_ = records.select("*", text.normalized(F.col("track_name")).alias("_name"), text.without_suffixes(F.col("track_name")).alias("_variant"), text.normalized(F.col("artist_name")).alias("_artist"), text.artist(F.col("artist_name")).alias("_bare"))
+    steps = Steps(records.sparkSession, "match")
+    known = steps.write(
+        tracks.select("track_id", F.coalesce("track_popularity", F.lit(0)).alias("t_popularity"), text.normalized(F.col("album_name")).alias("t_album"), F.col("duration_ms").alias("t_duration"), F.col("release_year").alias("t_year"), text.normalized(F.col("track_name")).alias("t_name"), text.without_suffixes(F.col("track_name")).alias("t_variant"), _forms("artist_name").alias("t_forms"))
+    )
+    open_ = steps.write(
+        records.select("record_id", "outside_id", "duration_ms", text.normalized(F.col("album_name")).alias("_album"), text.normalized(F.col("track_name")).alias("_name"), text.without_suffixes(F.col("track_name")).alias("_variant"), _forms("artist_name").alias("_forms"))
+    )
+    signs = known.select("track_id", "t_popularity", "t_album", "t_duration", "t_year")
     done = []
 
-    def close(pairs: DataFrame, method: str) -> None:
+    def close(pairs: DataFrame, method: str, confidence: Column | None = None) -> None:
+        """pairs: the signs of both sides; confidence: of a method without fixed ones."""
         nonlocal open_
         best = resolved(pairs)
-        sure, unsure = CONFIDENCE.get(method, (None, None))
-        confidence = F.round(F.col("t_score"), 4) if sure is None else F.when(F.col("ambiguous"), unsure).otherwise(sure)
-        done.append(best.select("record_id", "track_id", F.when(F.col("ambiguous"), "ambiguous").otherwise("matched").alias("match_status"), confidence.alias("confidence"), F.lit(method).alias("matching_method")))
-        open_ = open_.join(best.select("record_id"), "record_id", "left_anti")
-
-    close(open_.join(known, F.col("outside_id") == F.col("track_id").cast("string")), "exact")
-    for method, mine, theirs in (("normalized", "_name", "t_name"), ("variant", "_variant", "t_variant")):
-        both = open_.join(known, (F.col(mine) == F.col(theirs)) & (F.col("_artist") == F.col("t_artist")) & (F.col(mine) != ""))
-        bare = open_.join(known, (F.col(mine) == F.col(theirs)) & (F.col("_bare") == F.col("t_bare")) & (F.col(mine) != ""))
-        close(both.unionByName(bare).dropDuplicates(["record_id", "track_id"]), method)
-    near = open_.join(known, (F.col("_bare") == F.col("t_bare")) & (F.col("_bare") != ""))
-    score = F.greatest(text.dice(F.col("_name"), F.col("t_name")), text.dice(F.col("_variant"), F.col("t_variant")))
-    near = near.withColumn("t_score", score).where(F.col("t_score") >= THRESHOLD)
-    near = near.withColumn("_best", F.max("t_score").over(W.partitionBy("record_id"))).where(F.col("t_score") >= F.col("_best") - BAND).drop("_best")
-    close(near, "fuzzy")
-    rest = open_.select("record_id", F.lit(None).cast(dict(tracks.dtypes)["track_id"]).alias("track_id"), F.lit("unmatched").alias("match_status"), F.lit(0.0).alias("confidence"), F.lit("none").alias("matching_method"))
-    out = rest
+        if confidence is None:
+            sure, unsure = CONFIDENCE[method]
+            confidence = F.when(F.col("ambiguous"), unsure).otherwise(sure)
+        else:
+            best = best.join(pairs.groupBy("record_id").agg(F.max("best").alias("best")), "record_id")
+        done.append(steps.write(best.select("record_id", "track_id", F.when(F.col("ambiguous"), "ambiguous").otherwise("matched").alias("match_status"), confidence.alias("confidence"), F.lit(method).alias("matching_method"))))
+        open_ = open_.join(done[-1].select("record_id"), "record_id", "left_anti")
+
+    close(open_.join(known, F.col("outside_id") == F.col("track_id").cast("string")).withColumn("t_score", F.lit(1.0)), "exact_id")
+    named = known.withColumn("form", F.explode("t_forms")).drop("t_variant")
+    for method, name in (("normalized_exact", "_name"), ("variant_normalized", "_variant")):
+        asked = open_.where(F.col(name) != "").select("record_id", "_album", "duration_ms", F.col(name).alias("t_name"), "_forms", F.explode("_forms").alias("form"))
+        met = asked.join(named, ["t_name", "form"]).where(F.array_min(F.array_intersect("_forms", "t_forms")) == F.col("form"))  # once, where two forms agree
+        close(met.withColumn("t_score", F.lit(1.0)), method)
+    open_ = steps.write(open_)
+    near = steps.write(_near(open_, known, steps, hot))
+    near = near.join(open_.select("record_id", "_album", "duration_ms"), "record_id").join(signs, "track_id")
+    close(near, "fuzzy_trigram", F.floor(F.col("best") * 10000 + 0.5) / 10000)
+    out = open_.select("record_id", F.lit(None).cast(dict(tracks.dtypes)["track_id"]).alias("track_id"), F.lit("unmatched").alias("match_status"), F.lit(0.0).alias("confidence"), F.lit("none").alias("matching_method"))
     for d in done:
         out = out.unionByName(d)
     return out
 
 
 def match_stats(matches: DataFrame) -> DataFrame:
-    """One row: records, matched, ambiguous, unmatched, coverage and reliable shares in per cent."""
+    """One row: records, matches of each method, ambiguous and unmatched records; what is covered, and what is covered without
+    ambiguity, in per cent (0 without records)."""
     n, is_ = F.count("*"), lambda s: F.count_if(F.col("match_status") == s)
-    sure = F.count_if((F.col("match_status") == "matched") & (F.col("confidence") >= 0.85))
-    return matches.agg(n.alias("records"), is_("matched").alias("matched"), is_("ambiguous").alias("ambiguous"), is_("unmatched").alias("unmatched"), F.round(100.0 * (is_("matched") + is_("ambiguous")) / F.nullif(n, F.lit(0)), 1).alias("coverage_pct"), F.round(100.0 * sure / F.nullif(n, F.lit(0)), 1).alias("reliable_pct"))
+    by = lambda m: F.count_if((F.col("match_status") == "matched") & (F.col("matching_method") == m))
+    share = lambda k: F.when(n == 0, 0.0).otherwise(F.floor(1000.0 * k / F.nullif(n, F.lit(0)) + 0.5) / 10)
+    methods = {"exact_id_matches": "exact_id", "normalized_matches": "normalized_exact", "variant_matches": "variant_normalized", "fuzzy_matches": "fuzzy_trigram"}
+    sure = is_("matched")
+    return matches.agg(n.alias("records"), *[by(m).alias(c) for c, m in methods.items()], is_("ambiguous").alias("ambiguous"), is_("unmatched").alias("unmatched"), share(sure + is_("ambiguous")).alias("coverage_pct"), share(sure).alias("reliable_pct"))
+
+
+# Queries: records are made from the catalog, so that every stage, tie and sign occurs. Titles name the album, most the track as
+# well, some the artist alone.
+
+_TITLE = "case when track_id % 10 = 0 then 'Untitled' when track_id % 5 = 0 then 'Song from ' || album_name else 'Song ' || track_name || ' from ' || album_name end"
+_ASKED = """case track_id % 4 when 1 then ' ' || upper(title) || '!' when 2 then title || ' live at home' when 3 then 'x' || title else title end"""
 
 
 def _records(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Records made from the catalog: one in four with its id, one with other signs, one with a version suffix, one misspelt."""
-    tracks = c.relation("tracks artists albums").select("track_id", "track_name", "artist_name", "album_name", "duration_ms", "release_year", "track_popularity")
-    k = F.col("track_id") % 4
-    name = F.when(k == 1, F.concat(F.lit(" "), F.upper("track_name"), F.lit("!"))).when(k == 2, F.concat("track_name", F.lit(" live at home"))).when(k == 3, F.concat(F.lit("x"), "track_name")).otherwise(F.col("track_name"))
-    records = tracks.select(F.col("track_id").alias("record_id"), F.when(k == 0, F.col("track_id").cast("string")).alias("outside_id"), name.alias("track_name"), "artist_name", "album_name", "duration_ms")
-    return records, tracks
+    """Records of all tracks: one in four with its id, one with other signs, one with a version suffix, one misspelt; some lack
+    album or duration, some artists have an article."""
+    tracks = c.relation("tracks artists albums").withColumn("title", F.expr(_TITLE))
+    records = tracks.select(F.col("track_id").alias("record_id"), F.when(F.col("track_id") % 4 == 0, F.col("track_id").cast("string")).alias("outside_id"), F.expr(_ASKED).alias("track_name"), F.expr("case when track_id % 6 = 1 then 'The ' || artist_name else artist_name end").alias("artist_name"), F.expr("case when track_id % 3 <> 0 then album_name end").alias("album_name"), F.expr("case when track_id % 7 <> 0 then duration_ms end").alias("duration_ms"))
+    return records, tracks.select("track_id", F.col("title").alias("track_name"), "artist_name", "album_name", "duration_ms", "release_year", "track_popularity")
+
+
+def _sql_norm(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower(nfc_normalize({x})), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _sql_variant(x: str) -> str:
+    out = _sql_norm(x)
+    for pattern in text.SUFFIXES:
+        out = f"trim(regexp_replace({out}, '{pattern}', ''))"
+    return out
+
 
+def _sql_grams(x: str) -> str:
+    return f"list_distinct([substr(' ' || {x} || ' ', i, 3) for i in range(1, length({x}) + 1)])"
 
-_MATCHES = "select matching_method, count(*) as n from m group by 1"
 
+def _sql_dice(a: str, b: str) -> str:
+    return f"case when r.{a} = '' or k.{b} = '' then 0 when r.{a} = k.{b} then 1 else 2 * len(list_intersect(r.g{a}, k.g{b}))::double / (len(r.g{a}) + len(k.g{b})) end"
 
-@query("match_exact", "select count(*) as n from tracks where track_id % 4 = 0")
+
+def _sql_closed(stage: str, pairs: str, sure: str, unsure: str, method: str) -> str:
+    """The narrowing of candidates one sign after another; pairs: record_id, album, near, pop, year, score, best, track_id."""
+    kept, before = [], f"{stage}0"
+    for k, sign in enumerate(("album", "near", "pop"), 1):
+        kept.append(f"{stage}{k} as (select * from {before} qualify {sign} = max({sign}) over (partition by record_id))")
+        before = f"{stage}{k}"
+    return f"""{stage}0 as materialized ({pairs}), {', '.join(kept)},
+    {stage} as materialized (select record_id, first(track_id order by year nulls last, score desc, track_id) as track_id, case when count(*) > 1 and count(year) <> 1 then 'ambiguous' else 'matched' end as match_status,
+        case when count(*) > 1 and count(year) <> 1 then {unsure} else {sure} end as confidence, '{method}' as matching_method from {before} group by record_id)"""
+
+
+_SIGNS = f"k.track_id, case when r.album_name is not null and {_sql_norm('r.album_name')} = {_sql_norm('k.album_name')} then 1 else 0 end as album, case when abs(r.duration_ms - k.duration_ms) <= {DURATION} then 1 else 0 end as near, k.track_popularity as pop, k.release_year as year"
+_NAME_JOIN = "select r.record_id, {signs}, 1.0 as score, 1.0 as best from r join k on r.{name} = k.n and (r.a = k.a or r.bare = k.bare or r.a = k.bare or r.bare = k.a) and r.{name} <> '' where r.record_id not in (select record_id from {done})"
+_M = f"""with c as materialized (select *, {_TITLE} as title from tracks join artists using (artist_id) join albums using (album_id)),
+    k as materialized (select track_id, n, v, {_sql_grams('n')} as gn, {_sql_grams('v')} as gv, a, regexp_replace(regexp_replace(a, '^the\\s+', ''), '^a\\s+', '') as bare, album_name, duration_ms, release_year, track_popularity from (select *, {_sql_norm('title')} as n, {_sql_variant('title')} as v, {_sql_norm('artist_name')} as a from c)),
+    r as materialized (select record_id, outside_id, n, v, {_sql_grams('n')} as gn, {_sql_grams('v')} as gv, a, regexp_replace(regexp_replace(a, '^the\\s+', ''), '^a\\s+', '') as bare, album_name, duration_ms from
+        (select *, {_sql_norm('track_name')} as n, {_sql_variant('track_name')} as v, {_sql_norm('artist_name')} as a from (select track_id as record_id, case when track_id % 4 = 0 then track_id::varchar end as outside_id, {_ASKED} as track_name, case when track_id % 6 = 1 then 'The ' || artist_name else artist_name end as artist_name, case when track_id % 3 <> 0 then album_name end as album_name, case when track_id % 7 <> 0 then duration_ms end as duration_ms from c))),
+    {_sql_closed('one', f"select r.record_id, {_SIGNS}, 1.0 as score, 1.0 as best from r join k on r.outside_id = k.track_id::varchar", '1.0', '1.0', 'exact_id')},
+    {_sql_closed('two', _NAME_JOIN.format(signs=_SIGNS, name='n', done='one'), '0.95', '0.90', 'normalized_exact')},
+    done2 as (select record_id from one union all select record_id from two),
+    {_sql_closed('three', _NAME_JOIN.format(signs=_SIGNS, name='v', done='done2'), '0.85', '0.75', 'variant_normalized')},
+    done3 as (select record_id from done2 union all select record_id from three),
+    f as materialized (select r.record_id, {_SIGNS}, greatest({_sql_dice('n', 'n')}, {_sql_dice('v', 'v')}, {_sql_dice('n', 'v')}) as score from r join k on (r.a = k.a or r.bare = k.bare or r.a = k.bare or r.bare = k.a) and k.a <> '' where r.record_id not in (select record_id from done3)),
+    {_sql_closed('four', f"select *, max(score) over (partition by record_id) as best from f where score >= {PER_CENT / 100} qualify score >= max(score) over (partition by record_id) - {BAND}", 'floor(max(best) * 10000 + 0.5) / 10000', 'floor(max(best) * 10000 + 0.5) / 10000', 'fuzzy_trigram')},
+    m as materialized (select * from one union all select * from two union all select * from three union all select * from four
+        union all select record_id, null, 'unmatched', 0.0, 'none' from r where record_id not in (select record_id from done3) and record_id not in (select record_id from four)) """
+
+
+@query("match_exact", _M + "select count(*) as n from m where matching_method = 'exact_id' and record_id = track_id")
 def match_exact(c: Catalog) -> DataFrame:
-    records, tracks = _records(c)
-    return match(records, tracks).where("matching_method = 'exact' and record_id = track_id").agg(F.count("*").alias("n"))
+    return match(*_records(c)).where("matching_method = 'exact_id' and record_id = track_id").agg(F.count("*").alias("n"))
 
 
-@query("match_norm", "select case track_id % 4 when 1 then 'normalized' else 'variant' end as matching_method, count(*) as n from tracks where track_id % 4 in (1, 2) group by 1")
+@query("match_norm", _M + "select matching_method, match_status, count(*) as n, count(case when record_id = track_id then 1 end) as own from m where matching_method in ('normalized_exact', 'variant_normalized') group by 1, 2")
 def match_norm(c: Catalog) -> DataFrame:
-    records, tracks = _records(c)
-    return match(records, tracks).where("matching_method in ('normalized', 'variant') and record_id = track_id").groupBy("matching_method").agg(F.count("*").alias("n"))
+    rows = match(*_records(c)).where("matching_method in ('normalized_exact', 'variant_normalized')")
+    return rows.groupBy("matching_method", "match_status").agg(F.count("*").alias("n"), F.count_if(F.col("record_id") == F.col("track_id")).alias("own"))
 
 
-@query("match_fuzzy")
+@query("match_fuzzy", _M + "select record_id, track_id, match_status, confidence::double as confidence, matching_method from m where record_id % 4 = 3 or matching_method in ('fuzzy_trigram', 'none') or match_status = 'ambiguous'")
 def match_fuzzy(c: Catalog) -> DataFrame:
-    records, tracks = _records(c)
-    return match(records, tracks).where("record_id % 4 = 3").select("record_id", "track_id", "match_status", "confidence", "matching_method")
+    return match(*_records(c)).where("record_id % 4 = 3 or matching_method in ('fuzzy_trigram', 'none') or match_status = 'ambiguous'")
+
+
+_METHODS = ", ".join(f"count(case when match_status = 'matched' and matching_method = '{m}' then 1 end) as {c}" for c, m in (("exact_id_matches", "exact_id"), ("normalized_matches", "normalized_exact"), ("variant_matches", "variant_normalized"), ("fuzzy_matches", "fuzzy_trigram")))
 
 
-@query("match_stats")
+@query("match_stats", _M + f"select count(*) as records, {_METHODS}, count(case when match_status = 'ambiguous' then 1 end) as ambiguous, count(case when match_status = 'unmatched' then 1 end) as unmatched, floor(1000.0 * count(case when match_status <> 'unmatched' then 1 end) / count(*) + 0.5) / 10 as coverage_pct, floor(1000.0 * count(case when match_status = 'matched' then 1 end) / count(*) + 0.5) / 10 as reliable_pct from m")
 def match_stats_query(c: Catalog) -> DataFrame:
     return match_stats(match(*_records(c)))

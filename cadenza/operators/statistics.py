@@ -7,10 +7,13 @@ from math import exp, lgamma, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.order_stats import in_order, quantiles, running_total
+from ..plans.staged import Steps
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
+from .labels import SKEW_SQL, skew_label
 from .registry import query
-from .windows import rounded, running_total
+from .windows import rounded
 
 _LONG = "select * from (unpivot (select {} from audio_features) on {} into name feature value x)".format(", ".join(VECTOR), ", ".join(VECTOR))
 
@@ -30,16 +33,17 @@ def adjusted_kurtosis(n: Column, g: Column) -> Column:
 
 
 def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Per group: size, mean, deviation, quartiles, ends, skewness, kurtosis, interval of the mean, and how many values lie
-    beyond 1.5 and 3 interquartile ranges. Groups are aggregated twice; the fences between are one row a group."""
+    """Per group: size, mean, deviation, quartiles, ends, skewness with its description, kurtosis, interval of the mean, the inner
+    fences, and how many values lie beyond 1.5 and 3 interquartile ranges, in numbers and per cent. Rows are written once;
+    quartiles are exact and hold no group."""
+    steps = Steps(rows.sparkSession, "distribution")
+    rows = steps.write(rows.select(by, F.col(value).cast("double").alias(value), in_order(F.col(value)).alias("_order")))
     x, n = F.col(value), F.col("n")
-    stats = rows.groupBy(by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k")
-    )
-    stats = stats.withColumn("iqr", F.col("q")[2] - F.col("q")[0])
+    stats = rows.groupBy(by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k"))
+    stats = steps.write(stats.join(quantiles(rows, [by], value, "_order", [0.25, 0.5, 0.75], steps), by).withColumn("iqr", F.col("q")[2] - F.col("q")[0]))
     fences = stats.select(F.col(by).alias("_by"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "iqr")
     beyond = lambda k: F.count_if((x < F.col("q1") - k * F.col("iqr")) | (x > F.col("q3") + k * F.col("iqr")))
-    out = rows.join(fences, F.col(by) == F.col("_by")).groupBy(by).agg(beyond(1.5).alias("outliers"), beyond(3.0).alias("far_outliers")).withColumnRenamed(by, "_by")
+    out = rows.join(fences, F.col(by) == F.col("_by")).groupBy("_by").agg(beyond(1.5).alias("outliers"), beyond(3.0).alias("far_outliers"))
     half = 1.96 * F.col("std") / F.sqrt("n")
     return stats.join(out, F.col(by) == F.col("_by")).select(
         by,
@@ -56,6 +60,11 @@ def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
         rounded(F.col("mean") + half, 4).alias("ci_high"),
         "outliers",
         "far_outliers",
+        rounded(F.col("outliers") * 100.0 / n, 2).alias("outlier_pct"),
+        rounded(F.col("far_outliers") * 100.0 / n, 2).alias("far_outlier_pct"),
+        rounded(F.col("q")[0] - 1.5 * F.col("iqr"), 4).alias("lower_fence"),
+        rounded(F.col("q")[2] + 1.5 * F.col("iqr"), 4).alias("upper_fence"),
+        skew_label(adjusted_skewness(n, F.col("s"))).alias("skew_description"),
     )
 
 
@@ -66,7 +75,9 @@ def distribution(rows: DataFrame, by: str, value: str) -> DataFrame:
     o as (select feature, count(case when x < q1 - 1.5 * (q3 - q1) or x > q3 + 1.5 * (q3 - q1) then 1 end) as outliers, count(case when x < q1 - 3 * (q3 - q1) or x > q3 + 3 * (q3 - q1) then 1 end) as far_outliers from x join s using (feature) group by 1)
     select feature, n, round(mean * 1.000000000001, 4) as mean, round(std * 1.000000000001, 4) as std, round(low, 4) as low, round(q1 * 1.000000000001, 4) as p25, round(q2 * 1.000000000001, 4) as p50, round(q3 * 1.000000000001, 4) as p75, round(high, 4) as high,
         round((q3 - q1) * 1.000000000001, 4) as iqr, round(s * 1.000000000001, 3) as skewness, round(k * 1.000000000001, 3) as kurtosis,
-        round((mean - 1.96 * std / sqrt(n)) * 1.000000000001, 4) as ci_low, round((mean + 1.96 * std / sqrt(n)) * 1.000000000001, 4) as ci_high, outliers, far_outliers from s join o using (feature)""",
+        round((mean - 1.96 * std / sqrt(n)) * 1.000000000001, 4) as ci_low, round((mean + 1.96 * std / sqrt(n)) * 1.000000000001, 4) as ci_high, outliers, far_outliers,
+        round(outliers * 100.0 / n * 1.000000000001, 2) as outlier_pct, round(far_outliers * 100.0 / n * 1.000000000001, 2) as far_outlier_pct, round((q1 - 1.5 * (q3 - q1)) * 1.000000000001, 4) as lower_fence, round((q3 + 1.5 * (q3 - q1)) * 1.000000000001, 4) as upper_fence,
+        """ + SKEW_SQL + """ as skew_description from s join o using (feature)""",
 )
 def st_distribution(c: Catalog) -> DataFrame:
     return distribution(long_features(c), "feature", "x")
@@ -98,7 +109,7 @@ def st_pearson_matrix(c: Catalog) -> DataFrame:
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
     """(value, name): the average rank of each different value. Only counts of different values are ordered, in parts."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_t"))
-    counts = running_total(counts, [value], "_t", "_up_to")
+    counts = running_total(counts, [value], "_t", "_up_to", Steps(rows.sparkSession, "ranks"))
     return counts.select(F.col(value).alias(f"_{value}"), (F.col("_up_to") + (F.col("_t") + 1) / 2).alias(name), F.col("_t").alias(f"{name}_ties"))
 
 

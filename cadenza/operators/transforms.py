@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.features import archetype_sql
 from ..schema import FEATURES
+from ..plans.order_stats import running_total
+from ..plans.staged import Steps
 from ..sources.catalog import Catalog
 from .registry import query
-from .windows import running_total
 
 #: Texts that mean null in raw files.
 NULLS = ("nan", "None", "NULL", "")
@@ -59,9 +60,11 @@ def star(cleaned: DataFrame, order: str) -> dict[str, DataFrame]:
     Surrogate ids follow the order of natural keys. Numbering a dimension sorts its distinct keys in parts, see running_total().
     """
 
+    steps = Steps(cleaned.sparkSession, "star")
+
     def ids(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         once = df.select(*keys).distinct().withColumn("_one", F.lit(1))
-        return running_total(once, keys, "_one", name).withColumn(name, (F.col(name) + 1).cast("int")).drop("_one")
+        return running_total(once, keys, "_one", name, steps).withColumn(name, (F.col(name) + 1).cast("int")).drop("_one")
 
     genres = ids(cleaned, ["playlist_genre", "playlist_subgenre"], "genre_id")
     artists = ids(cleaned.withColumnRenamed("track_artist", "artist_name"), ["artist_name"], "artist_id")
@@ -100,7 +103,7 @@ def f_genre_class(c: Catalog) -> DataFrame:
     return c.raw("documents").groupBy(text.genre_class(F.col("text")).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("f_normalize", r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))) as digest from documents", prefix=False)
+@query("f_normalize", r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g'))) as digest from documents", prefix=False)
 def f_normalize(c: Catalog) -> DataFrame:
     return c.raw("documents").select("doc_id", F.md5(text.normalized(F.col("text"))).alias("digest"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.order_stats import in_order, positions, quantiles, running_total
+from ..plans.staged import Steps
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
 from .registry import query
@@ -18,32 +20,6 @@ def rounded(column, digits: int):
     return F.round(column * TIE, digits)
 
 
-#: Parts in which rows are put in order over a whole table, and the keys that are looked at to cut them.
-PARTS, LOOKED_AT = 64, 2048
-
-
-def part_of(rows: DataFrame, keys: list[str]) -> Column:
-    """A number (0 to PARTS - 1) that grows with the keys' order: rows are cut at keys that a hash picks, LOOKED_AT at most."""
-    some = rows.select(*keys).distinct().orderBy(F.xxhash64(*keys)).limit(LOOKED_AT).orderBy(*keys).collect()
-    cuts = some[:: max(1, LOOKED_AT // PARTS)][1:]
-    if not cuts:
-        return F.lit(0)
-    kinds = dict(rows.dtypes)
-    row = lambda r: F.struct(*[F.lit(r[k]).cast(kinds[k]).alias(k) for k in keys])
-    return F.size(F.filter(F.array(*[row(r) for r in cuts]), lambda c: c <= F.struct(*keys)))
-
-
-def running_total(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """rows with the total of value over all rows that come before in the keys' order; keys are different. No task sees more
-    than a part of the rows: totals are made inside of parts, and moved up by the totals of the parts before."""
-    dealt = rows.withColumn("_part", part_of(rows, keys))
-    sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
-    before = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # PARTS rows
-    sums = sums.select(F.col("_part").alias("_of"), before.alias("_before"))
-    inside = F.coalesce(F.sum(value).over(W.partitionBy("_part").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_in", inside).join(F.broadcast(sums), F.col("_part") == F.col("_of")).withColumn(name, F.col("_in") + F.col("_before")).drop("_part", "_of", "_before", "_in")
-
-
 @query(
     "q17a_artist_rank_in_genre",
     """with a as (select artist_name, genre_name, count(distinct track_id) as tracks_in_genre, round(avg(track_popularity) * 1.000000000001, 1) as avg_popularity
@@ -65,16 +41,22 @@ def artist_rank_in_genre(c: Catalog, most: int = 5) -> DataFrame:
     from tracks join artists using (artist_id) join playlist_tracks using (track_id) join genres using (genre_id)""",
 )
 def popularity_percentile(c: Catalog) -> DataFrame:
-    rows = c.relation("tracks artists playlist_tracks genres")
-    by = W.partitionBy("genre_name")
-    return rows.select(
-        "track_name",
-        "artist_name",
-        "genre_name",
-        "track_popularity",
-        F.round(F.percent_rank().over(by.orderBy("track_popularity")), 6).alias("popularity_percentile"),
-        F.ntile(10).over(by.orderBy("track_popularity", "track_id", "playlist_id")).alias("popularity_decile"),
-    )
+    """Each appearance's percentile and decile in its genre. Genres may be of any size: rows are placed by ranges, and the share
+    below a popularity comes from counts."""
+    steps = Steps(c.spark, "percentile")
+    rows = c.relation("tracks playlist_tracks genres").select("genre_name", "track_popularity", "track_id", "playlist_id")
+    placed = positions(steps.write(rows), ["genre_name"], ["track_popularity", "track_id", "playlist_id"], steps, "at", "n")
+    counts = placed.groupBy("genre_name", "track_popularity").agg(F.min("at").alias("below")).select(F.col("genre_name").alias("_g"), F.col("track_popularity").alias("_p"), "below")
+    placed = placed.join(counts, (F.col("genre_name") == F.col("_g")) & (F.col("track_popularity") == F.col("_p")))
+    names = c.relation("tracks artists").select("track_id", "track_name", "artist_name")
+    share = F.when(F.col("n") > 1, F.col("below") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0)
+    return placed.join(names, "track_id").select("track_name", "artist_name", "genre_name", "track_popularity", F.round(share, 6).alias("popularity_percentile"), nth_part(F.col("at"), F.col("n"), 10).alias("popularity_decile"))
+
+
+def nth_part(at: Column, n: Column, parts: int) -> Column:
+    """In which of so many parts of nearly equal size (the first ones larger) the row at this place of n falls, from 1."""
+    small, more = F.floor(n / parts), n % parts
+    return F.when(at < more * (small + 1), F.floor(at / (small + 1)) + 1).otherwise(more + F.floor((at - more * (small + 1)) / F.greatest(small, F.lit(1))) + 1).cast("int")
 
 
 _AGAINST = ("danceability", "energy", "valence", "speechiness", "tempo")
@@ -114,17 +96,18 @@ def row_counts(c: Catalog) -> DataFrame:
     " union all ".join(f"select '{f}' as feature, round(min({f}), 4) as min_value, round(max({f}), 4) as max_value, round(avg({f}) * 1.000000000001, 3) as avg_value, round(stddev_samp({f}) * 1.000000000001, 3) as std_value, round(median(cast({f} as double)), 4) as median_value, round(max({f}) - min({f}), 4) as span from audio_features" for f in VECTOR),
 )
 def feature_stats(c: Catalog) -> DataFrame:
-    """One scan: features become rows before they are grouped."""
-    v = F.col("value")
+    """Features become rows before they are grouped; medians are exact and hold no group."""
+    v, steps = F.col("value"), Steps(c.spark, "features")
     long = c.audio_features().unpivot([], list(VECTOR), "feature", "value")
-    return long.groupBy("feature").agg(
+    long = steps.write(long.withColumn("order", in_order(v)))
+    stats = long.groupBy("feature").agg(
         F.round(F.min(v), 4).alias("min_value"),
         F.round(F.max(v), 4).alias("max_value"),
         rounded(F.avg(v), 3).alias("avg_value"),
         rounded(F.stddev_samp(v), 3).alias("std_value"),
-        F.round(F.percentile(v, F.lit(0.5)), 4).alias("median_value"),
         F.round(F.max(v) - F.min(v), 4).alias("span"),
     )
+    return stats.join(quantiles(long, ["feature"], "value", "order", [0.5], steps), "feature").withColumn("median_value", F.round(F.col("q")[0], 4)).drop("q")
 
 
 _LIKES = "select distinct user_id, 1 + cast(json_extract_string(props, '$.k') as bigint) as track_id, max(ts) over (partition by user_id, json_extract_string(props, '$.k')) as liked_at from events where event_type = 'purchase'"

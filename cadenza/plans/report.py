@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.catalog import PREFIX, Catalog, relation_sql
+from .order_stats import in_order, quantiles
+from .staged import Steps
 
 
 #: Rounded values are moved outward by this factor, so that ties fall on the same side in both engines despite floating error.
@@ -21,10 +24,12 @@ def rounded(text: str, digits: int) -> str:
 
 @dataclass(frozen=True)
 class Measure:
-    """column: makes the column (a session is needed only then). sql: the other engine's expression."""
+    """column: makes the column (a session is needed only then). sql: the other engine's expression. rank: (column, share, digits) of
+    a quantile that no aggregate's buffer should hold."""
 
     column: Callable[[], Column]
     sql: str
+    rank: tuple[str, float, int] | None = None
 
 
 def count(expr: str = "*") -> Measure:
@@ -44,9 +49,14 @@ def deviation(expr: str, digits: int) -> Measure:
     return computed(rounded(f"stddev_samp({expr})", digits))
 
 
+#: Columns of whole numbers from 0 to 100: the buffer of an exact percentile has 101 entries.
+SHORT = {"track_popularity"}
+
+
 def quantile(expr: str, p: float, digits: int = 6) -> Measure:
     """Exact, interpolated between neighbours."""
-    return Measure(lambda: F.expr(rounded(f"percentile({expr}, {p})", digits)), rounded(f"quantile_cont(cast({expr} as double), {p})", digits))
+    sql = rounded(f"quantile_cont(cast({expr} as double), {p})", digits)
+    return Measure(lambda: F.expr(rounded(f"percentile({expr}, {p})", digits)), sql, None if expr in SHORT else (expr, p, digits))
 
 
 def least(expr: str) -> Measure:
@@ -106,7 +116,9 @@ class Report:
         rows = catalog.relation(self.over)
         if self.filter:
             rows = rows.where(self.filter)
-        if self.measures:
+        if any(m.rank for m in self.measures.values()):
+            rows = self._ranked(rows)
+        elif self.measures:
             rows = rows.groupBy(*[F.expr(e).alias(n) for n, e in self.by.items()]).agg(*[m.column().alias(n) for n, m in self.measures.items()])
         else:
             rows = rows.select(*[F.expr(e).alias(n) for n, e in self.by.items()])
@@ -120,6 +132,26 @@ class Report:
             rows = rows.limit(self.limit)
         return rows.select(*self.keep) if self.keep else rows
 
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        """The groups with measures of which some are quantiles: the columns that are used are written once, since quantiles are
+        found in several rounds."""
+        steps = Steps(rows.sparkSession, "report")
+        ranks: dict[str, list[tuple[str, float, int]]] = {}
+        for n, m in self.measures.items():
+            if m.rank:
+                ranks.setdefault(m.rank[0], []).append((n, *m.rank[1:]))
+        used = set(re.findall(r"\w+", " ".join([m.sql for m in self.measures.values()])))
+        keys = [F.expr(e).alias(f"_by{i}") for i, e in enumerate(self.by.values())]
+        rows = steps.write(rows.select(*[c for c in rows.columns if c in used], *keys, *[in_order(F.col(c)).alias(f"_{c}") for c in ranks]))
+        by = [f"_by{i}" for i in range(len(self.by))]
+        out = rows.groupBy(*by).agg(*[m.column().alias(n) for n, m in self.measures.items() if not m.rank])
+        for c, found in ranks.items():
+            q = quantiles(rows.withColumn(c, F.col(c).cast("double")), by, c, f"_{c}", [p for _, p, _ in found], steps)
+            q = q.select(*[F.col(k).alias(f"{k}_") for k in by], *[F.expr(rounded(f"q[{i}]", digits)).alias(n) for i, (n, _, digits) in enumerate(found)])
+            same = [out[k].eqNullSafe(q[f"{k}_"]) for k in by]
+            out = (out.join(q, same, "left") if by else out.crossJoin(F.broadcast(q))).drop(*[f"{k}_" for k in by])  # one row without groups
+        return out.select(*[F.col(k).alias(n) for k, n in zip(by, self.by, strict=True)], *self.measures)
+
     def sql(self) -> str:
         columns = ", ".join([*[f"{e} as {n}" for n, e in self.by.items()], *[f"{m.sql} as {n}" for n, m in self.measures.items()]])
         text = f"select {columns} from {relation_sql(self.over)}"
