@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import cosine
+from ..plans.order_stats import in_order, quantiles
+from ..plans.staged import Steps
 from ..sources.catalog import Catalog
 from .registry import query
 
@@ -66,13 +70,50 @@ def safety(recs: DataFrame, seeds: DataFrame, score: str) -> DataFrame:
     return leaked.crossJoin(repeated).crossJoin(rising)  # one row each
 
 
-def bootstrap(values: list[float], rounds: int = 1000, seed: int = 42) -> tuple[float, float, float] | None:
-    """Mean and 95 % percentile interval of a metric's values over personas (at least five, else none)."""
-    x = np.array([v for v in values if v is not None and not np.isnan(v)])
-    if len(x) < 5:
-        return None
-    means = np.random.default_rng(seed).choice(x, (rounds, len(x))).mean(1)
-    return float(x.mean()), float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
+#: Rounds of the bootstrap, the values that it needs at least, the share outside of its interval.
+ROUNDS, LEAST, ALPHA = 1000, 5, 0.05
+#: How often a value is drawn in a round, by a uniform number: the Poisson distribution of mean 1, cut where less than 2^-32 is left.
+_DRAWN = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def drawn(unit: Column, round_: Column, seed: int) -> Column:
+    """How often a unit is drawn in a round: always the same for a seed, whatever the engine or the order of rows."""
+    uniform = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), unit.cast("string"), round_.cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return sum((F.when(uniform >= p, 1).otherwise(0) for p in _DRAWN), F.lit(0))
+
+
+def summary(values: DataFrame, by: list[str], rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    """Per group of values (by, unit, value): n_valid, macro_mean, macro_std, macro_median, macro_min, macro_max, and the bootstrap
+    interval ci_lower, ci_upper of the mean (null below LEAST values or without rounds). Null and NaN values don't count; a
+    group without values has n_valid 0.
+
+    Every round of every group is one sum in one aggregation: a value's weight in a round comes from a hash of its unit and the
+    round, so nothing is drawn on the driver and no task holds a group. All groups draw alike."""
+    x = F.when(~F.isnan("value"), F.col("value"))
+    whole = values.groupBy(*by).agg(F.count(x).alias("n_valid"), F.avg(x).alias("macro_mean"), F.stddev_pop(x).alias("macro_std"), F.min(x).alias("macro_min"), F.max(x).alias("macro_max"))
+    steps = Steps(values.sparkSession, "summary")
+    rows = steps.write(values.where(x.isNotNull()).select(*by, "unit", F.col("value").cast("double").alias("value"), in_order(F.col("value")).alias("_order")))
+    middle = quantiles(rows, by, "value", "_order", [0.5], steps).select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(by)], F.col("q")[0].alias("macro_median"))
+    same = lambda right, mark: functools.reduce(lambda a, b: a & b, [whole[k].eqNullSafe(right[f"{mark}{i}"]) for i, k in enumerate(by)])
+    out = whole.join(middle, same(middle, "_m"), "left").drop(*[f"_m{i}" for i in range(len(by))])
+    if not rounds:
+        return out.withColumns({"ci_lower": F.lit(None).cast("double"), "ci_upper": F.lit(None).cast("double")})
+    many = rows.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    times = drawn(F.col("unit"), F.col("_round"), seed)
+    means = many.groupBy(*by, "_round").agg((F.sum(F.col("value") * times) / F.nullif(F.sum(times), F.lit(0))).alias("_mean"))
+    ends = means.groupBy(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(by)]).agg(F.percentile("_mean", F.array(F.lit(ALPHA / 2), F.lit(1 - ALPHA / 2))).alias("_ends"))  # as many values as rounds
+    out = out.join(ends, functools.reduce(lambda a, b: a & b, [out[k].eqNullSafe(ends[f"_e{i}"]) for i, k in enumerate(by)]), "left")
+    enough = F.col("n_valid") >= LEAST
+    return out.withColumns({"ci_lower": F.when(enough, F.col("_ends")[0]), "ci_upper": F.when(enough, F.col("_ends")[1])}).drop("_ends", *[f"_e{i}" for i in range(len(by))])
+
+
+def micro(recs: DataFrame, truth: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Per group of lists (by, persona, track_id, rank): hits, recommendations and truth of all its personas together, and their
+    quotients. Every persona of truth counts for each group."""
+    top = recs.where(F.col("rank") <= k).join(truth.select("persona", "track_id", F.lit(1).alias("_hit")), ["persona", "track_id"], "left")
+    got = top.groupBy(*by).agg(F.coalesce(F.sum("_hit"), F.lit(0)).alias("total_hits"), F.count("*").alias("total_recommendations"))
+    got = got.crossJoin(F.broadcast(truth.agg(F.count("*").alias("total_ground_truth"))))  # one row
+    return got.withColumns({"micro_precision": F.col("total_hits") / F.nullif("total_recommendations", F.lit(0)), "micro_recall": F.col("total_hits") / F.nullif("total_ground_truth", F.lit(0))})
 
 
 # Queries: customers are personas; their orders of the earlier years are recommended by price, later ones are the truth.
@@ -127,3 +168,20 @@ def ev_ild(c: Catalog) -> DataFrame:
 def ev_novelty(c: Catalog) -> DataFrame:
     recs = c.tracks().select(F.col("artist_id").alias("persona"), "track_id")
     return novelty(recs, c.tracks()).select("persona", F.round("novelty", 6).alias("novelty"))
+
+
+_W = " + ".join(f"case when u >= {p!r} then 1 else 0 end" for p in _DRAWN)
+
+
+@query(
+    "ev_bootstrap",
+    _HITS + f""", v as (select n.persona, coalesce(sum(hit), 0) / 10.0 as value from n left join h using (persona) group by 1),
+    b as (select round, sum(value * ({_W})) / sum({_W}) as mean from (select value, round, ('0x' || substr(md5('42:' || persona || ':' || round), 1, 8))::bigint / 4294967296.0::double as u from v, range(200) r(round)) group by 1)
+    select count(*) as n_valid, round(avg(value), 6) as macro_mean, round(stddev_pop(value), 6) as macro_std, round(median(value::double), 6) as macro_median, round(min(value), 6) as macro_min, round(max(value), 6) as macro_max,
+        round((select quantile_cont(mean, 0.025) from b), 6) as ci_lower, round((select quantile_cont(mean, 0.975) from b), 6) as ci_upper from v""",
+    prefix=False,
+)
+def ev_bootstrap(c: Catalog) -> DataFrame:
+    """The mean precision of all personas with its interval after 200 rounds."""
+    rows = ranking_metrics(*_lists(c), 10).select(F.lit("precision").alias("metric"), F.col("persona").alias("unit"), F.col("precision").alias("value"))
+    return summary(rows, ["metric"], 200).select("n_valid", *[F.round(m, 6).alias(m) for m in ("macro_mean", "macro_std", "macro_median", "macro_min", "macro_max", "ci_lower", "ci_upper")])

@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.features import clamp, cosine
+from ..functions.features import clamp, cosine, half_up
+from ..plans.staged import Steps
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
 from ..sources.files import load_json, save_json
+from .nearest import nearest
 from .registry import query
 from .windows import rounded
 
@@ -96,18 +98,14 @@ def user_vectors(seeds: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def candidates(users: DataFrame, catalog: DataFrame, excluded: DataFrame, pool: int = POOL) -> DataFrame:
-    """The most similar tracks of each user, without those excluded: user_id, catalog's columns, similarity, position.
+    """The most similar tracks of each user, without those excluded: user_id, user_vector, catalog's columns, similarity,
+    position.
 
-    users: user_id, user_vector, in blocks against the whole catalog (every user is a query); excluded: user_id, track_id.
-    Tracks are cut to a pool per user and part of the catalog before the users' pools are merged, so that no task sees all
-    pairs of a user.
+    users: user_id, user_vector; excluded: user_id, track_id. Every user is a query against the whole catalog, in blocks of
+    which most are ruled out, see nearest(); the pools are joined to what is known of their tracks.
     """
-    pairs = catalog.withColumn("_part", F.spark_partition_id()).join(users, F.lit(True), "cross")
-    scored = pairs.withColumn("similarity", cosine(F.col("vector"), F.col("user_vector"))).join(excluded, ["user_id", "track_id"], "left_anti")
-    best = [F.desc("similarity"), F.desc("track_popularity"), F.asc("track_id")]
-    first = scored.withColumn("_n", F.row_number().over(W.partitionBy("user_id", "_part").orderBy(*best))).where(F.col("_n") <= pool)
-    out = first.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy(*best))).where(F.col("position") <= pool)
-    return out.drop("_part", "_n")
+    found = nearest(users, catalog, excluded, pool)
+    return found.join(users, "user_id").join(catalog, "track_id").select("user_id", *catalog.columns, "user_vector", "similarity", "position")
 
 
 def on_axes(axes: Projection) -> Column:
@@ -174,7 +172,7 @@ def diverse(rows: DataFrame, limit: int, weight: float = LAMBDA, cap: int = ARTI
 
 def explained(rows: DataFrame, most: int = 3) -> DataFrame:
     """Adds reasons: the features in which a track (vector) is nearest to the user (user_vector), each with its proximity in per
-    cent of the features' spans, and a sentence."""
+    cent of six deviations, and a sentence. For raw values see proximities()."""
     parts = [F.struct((-F.greatest(F.lit(0.0), 1 - F.abs(F.element_at("vector", i + 1) - F.element_at("user_vector", i + 1)) / 6) * 100).alias("order"), F.lit(f).alias("feature")) for i, f in enumerate(VECTOR)]
     near = F.slice(F.array_sort(F.array(*parts)), 1, most)
     reasons = F.transform(near, lambda s: F.struct(s["feature"].alias("feature"), F.round(-s["order"], 1).alias("proximity")))
@@ -182,27 +180,83 @@ def explained(rows: DataFrame, most: int = 3) -> DataFrame:
     return rows.withColumns({"reasons": reasons, "explanation": sentence})
 
 
-def aligned_features(most: int = 3) -> Column:
-    """Of scaled vector and user_vector the features that differ least: (distance, feature, delta), nearest first."""
-    delta = lambda i: F.element_at("vector", i + 1) - F.element_at("user_vector", i + 1)
-    parts = [F.struct(F.round(F.abs(delta(i)), 3).alias("distance"), F.lit(i).alias("place"), F.lit(f).alias("feature"), F.round(delta(i), 3).alias("delta")) for i, f in enumerate(VECTOR)]
+#: The parts of an explanation by proximity.
+ALIGNED, SHARES = "Strong alignment in {} ({}% match) and {} ({}% match)", "shares your preferred genre ({})"
+
+
+def proximities(rows: DataFrame, spans: dict[str, float], most: int = 3) -> DataFrame:
+    """Adds to rows (raw, user_raw: arrays of feature values; genre, user_genre) what a track has in common with a user:
+    top_features (feature, proximity in per cent of the feature's span, value), deltas, shares_genre, explanation_text. The
+    feature order decides ties."""
+    raw, user = (lambda i: F.element_at("raw", i + 1)), (lambda i: F.element_at("user_raw", i + 1))
+    near = lambda i, f: F.bround(F.greatest(F.lit(0.0), 1 - F.abs(raw(i) - user(i)) / (spans[f] or 1.0)) * 100, 1)
+    parts = [F.struct((-near(i, f)).alias("order"), F.lit(i).alias("place"), F.lit(f).alias("feature"), F.bround(raw(i), 3).alias("value")) for i, f in enumerate(VECTOR)]
+    rows = rows.withColumn("_near", F.slice(F.array_sort(F.array(*parts)), 1, max(2, most)))
+    same = F.coalesce(F.lower("genre") == F.lower("user_genre"), F.lit(False))
+    name = lambda k: F.initcap(F.col("_near")[k]["feature"])
+    per_cent = lambda k: F.format_string("%.0f", F.bround(-F.col("_near")[k]["order"], 0))
+    text = ALIGNED.split("{}")
+    first = F.concat(F.lit(text[0]), name(0), F.lit(text[1]), per_cent(0), F.lit(text[2]), name(1), F.lit(text[3]), per_cent(1), F.lit(text[4]))
+    head, tail = SHARES.split("{}")
+    second = F.when(same & (F.col("genre") != "Other"), F.concat(F.lit(head), F.col("genre"), F.lit(tail)))
+    shown = F.transform(F.slice("_near", 1, most), lambda s: F.struct(s["feature"].alias("feature"), (-s["order"]).alias("proximity"), s["value"].alias("value")))
+    deltas = F.create_map(*[x for i, f in enumerate(VECTOR) for x in (F.lit(f), F.bround(raw(i) - user(i), 4))])
+    return rows.withColumns({"top_features": shown, "deltas": deltas, "shares_genre": same, "explanation_text": F.concat(F.concat_ws(", ", first, second), F.lit("."))}).drop("_near")
+
+
+def aligned_features(scale: tuple[float, ...], most: int = 3) -> Column:
+    """Of a track's raw values and a user's (raw, user_raw) the features that differ least in deviations (scale): distance,
+    feature, user_value, track_value, delta, standardized; nearest first, ties in the features' order."""
+    raw, user = (lambda i: F.element_at("raw", i + 1)), (lambda i: F.element_at("user_raw", i + 1))
+    delta = lambda i: raw(i) - user(i)
+    parts = [
+        F.struct(half_up(F.abs(delta(i) / s), 3).alias("distance"), F.lit(i).alias("place"), F.lit(f).alias("feature"), half_up(user(i), 3).alias("user_value"), half_up(raw(i), 3).alias("track_value"), half_up(delta(i), 3).alias("delta"), half_up(delta(i) / s, 3).alias("standardized"))
+        for i, (f, s) in enumerate(zip(VECTOR, scale, strict=True))
+    ]
     return F.slice(F.array_sort(F.array(*parts)), 1, most)
 
 
-#: From which value on a signal is mentioned.
+#: From which value on a signal is mentioned, and the sentences of an explanation.
 MENTION = {"genre": 0.15, "artist": 0.5, "novelty": 0.65}
-
-
-def narrative(best: Column) -> Column:
-    """Sentences about the signals that are large enough to be mentioned: genre_score, artist_score, novelty, matched_genres."""
-    way = F.when(best["delta"] > 0, "slightly higher ").when(best["delta"] < 0, "slightly lower ").otherwise("similar ")
+SENTENCES = {
+    "feature": "Closely matches your profile on {} ({})",
+    "higher": "slightly higher {}",
+    "lower": "slightly lower {}",
+    "similar": "similar {}",
+    "genre": "Aligns with your {} preference",
+    "artist": "From an artist in your listening history",
+    "novelty": "Less mainstream track — surfaces a less obvious discovery",
+    "variety": "Adds genre variety to your recommendation list",
+    "reranked": "Ranked by audio-feature similarity with diversity-aware reranking.",
+    "plain": "Ranked by canonical audio-feature cosine similarity.",
+}
+
+
+def _filled(name: str, *values: Column) -> Column:
+    parts = SENTENCES[name].split("{}")
+    return F.concat(*[x for p, v in zip(parts, [*values, None], strict=True) for x in ([F.lit(p)] if v is None else [F.lit(p), v])])
+
+
+def narrative(aligned: Column, repeats: Column | None = None) -> Column:
+    """Sentences about what is true of a track: the nearest feature of aligned (aligned_features()), and the signals that are
+    large enough to be mentioned: genre_score with matched_genres, artist_score, novelty, and, where lists are made diverse,
+    repeats = 0 (the track's genres among those chosen before)."""
+    near = F.get(aligned, F.lit(0))
+    way = F.when(near["delta"] > 0, _filled("higher", near["feature"])).when(near["delta"] < 0, _filled("lower", near["feature"])).otherwise(_filled("similar", near["feature"]))
     parts = F.array(
-        F.concat(F.lit("Closely matches your profile on "), best["feature"], F.lit(" ("), way, best["feature"], F.lit(")")),
-        F.when((F.col("genre_score") >= MENTION["genre"]) & (F.size("matched_genres") > 0), F.concat(F.lit("Aligns with your "), F.array_join(F.slice("matched_genres", 1, 2), " and "), F.lit(" preference"))),
-        F.when(F.col("artist_score") >= MENTION["artist"], F.lit("From an artist in your listening history")),
-        F.when(F.col("novelty") >= MENTION["novelty"], F.lit("A less obvious discovery")),
+        F.when(near.isNotNull(), _filled("feature", near["feature"], way)),
+        F.when((F.col("genre_score") >= MENTION["genre"]) & (F.size("matched_genres") > 0), _filled("genre", F.array_join(F.slice("matched_genres", 1, 2), " and "))),
+        F.when(F.col("artist_score") >= MENTION["artist"], _filled("artist")),
+        F.when(F.col("novelty") >= MENTION["novelty"], _filled("novelty")),
+        F.when(repeats == 0, _filled("variety")) if repeats is not None else F.lit(None).cast("string"),
     )
-    return F.concat(F.array_join(F.filter(parts, lambda p: p.isNotNull()), ". "), F.lit("."))
+    said = F.filter(parts, lambda p: p.isNotNull())
+    return F.when(F.size(said) > 0, F.concat(F.array_join(said, ". "), F.lit("."))).otherwise(SENTENCES["plain" if repeats is None else "reranked"])
+
+
+def matched_genres() -> Column:
+    """Of a track's genres those of which the profile (profile_genres: per cents) has enough to be mentioned."""
+    return F.filter(F.coalesce("genres", F.array().cast("array<string>")), lambda g: F.coalesce(F.col("profile_genres")[g], F.lit(0.0)) / 100 >= MENTION["genre"])
 
 
 # Queries: embeddings stand for tracks (64 dimensions), the first vectors for users.
@@ -294,6 +348,7 @@ def recommend_from(catalog: DataFrame, users: DataFrame, axes: Projection, exclu
     if banned is not None:
         pool = without_artists(pool, banned)
     ranked = relevance(pool.withColumn("representation", on_axes(axes)).join(users.drop("user_vector"), "user_id", "left"))
+    ranked = Steps(catalog.sparkSession, "ranked").write(ranked)  # read twice
     chosen = diverse(ranked, limit)
     return explained(ranked.join(chosen, ["user_id", "track_id"])).select("user_id", "rank", "track_id", "artist_name", "track_popularity", F.round("similarity", 4).alias("similarity"), F.round("relevance", 4).alias("relevance"), F.round("score", 4).alias("score"), "reasons", "explanation")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import cosine
+from ..plans.staged import Steps
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
 from .profiles import _TG, profile_genres
@@ -133,29 +134,52 @@ def shared(pairs: DataFrame, vectors: DataFrame, genres: DataFrame, artists: Dat
     )
 
 
-# Queries. Personas are genres, their seeds the five tracks with the smallest ids.
+# Queries. Personas are genres, their seeds five tracks that a hash draws.
+
+#: The seed of the draw.
+SEED = 42
 
 _Z = "z as (select " + ", ".join(f"avg({f}) as m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1) as s_{f}" for f in VECTOR) + " from audio_features)"
 _V = "v as (select track_id, [" + ", ".join(f"({f} - m_{f}) / s_{f}" for f in VECTOR) + "] as vec from audio_features cross join z)"
 _G = "tg as (select track_id, min(genre_name) as genre from playlist_tracks join genres using (genre_id) group by 1)"
-_S = "s as (select persona, track_id from (select genre as persona, track_id, row_number() over (partition by genre order by track_id) as k from tg) where k <= 5)"
+_S = f"s as (select persona, track_id from (select genre as persona, track_id, row_number() over (partition by genre order by md5('{SEED}:' || track_id), track_id) as k from tg join tracks using (track_id) join audio_features using (track_id)) where k <= 5)"
 _U = "u as (select persona, [" + ", ".join(f"avg(vec[{i + 1}])" for i in range(len(VECTOR))) + "] as uv from s join v using (track_id) group by 1)"
 _COS = "list_dot_product(vec, uv) / (sqrt(list_dot_product(vec, vec)) * sqrt(list_dot_product(uv, uv)))"
-PERSONAS_SQL = f"{_Z}, {_V}, {_G}, {_S}, {_U}, c as (select u.persona, v.track_id, track_popularity, genre, round({_COS}, 9) as sim from u cross join v join tracks using (track_id) join tg using (track_id) where not exists (select 1 from s where s.persona = u.persona and s.track_id = v.track_id))"
+PERSONAS_SQL = f"{_Z}, {_V}, {_G}, {_S}, {_U}, c as materialized (select u.persona, v.track_id, track_popularity, genre, round({_COS}, 9) as sim from u cross join v join tracks using (track_id) join tg using (track_id) where not exists (select 1 from s where s.persona = u.persona and s.track_id = v.track_id))"
 
 
-def persona_scores(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """(scored candidates of each persona, their seeds); as many personas as genres, so their side is broadcast."""
+def persona_tables(c: Catalog, seed: int = SEED, n: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scaler]:
+    """(tracks with vector and genre, personas with user_vector, their seeds, the scaler), each written once. A persona is a genre;
+    its seeds are the n tracks of the genre that a hash with this seed puts first."""
+    steps = Steps(c.spark, "personas")
     rows = c.audio_features()
-    vectors = rows.select("track_id", Scaler.fit(rows).vector().alias("vector"))
+    scaler = Scaler.fit(rows)
     genre = c.relation("playlist_tracks genres").groupBy("track_id").agg(F.min("genre_name").alias("genre"))
-    n = F.row_number().over(W.partitionBy("genre").orderBy("track_id"))
-    seeds = genre.withColumn("_n", n).where("_n <= 5").select(F.col("genre").alias("persona"), "track_id")
+    tracks = rows.select("track_id", scaler.vector().alias("vector")).join(c.tracks().select("track_id", "track_popularity", "artist_id"), "track_id").join(genre, "track_id", "left")
+    tracks = steps.write(tracks)
+    draw = F.row_number().over(W.partitionBy("genre").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("track_id").cast("string"))), "track_id"))
+    seeds = steps.write(tracks.where("genre is not null").withColumn("_n", draw).where(F.col("_n") <= n).select(F.col("genre").alias("persona"), "track_id"))
     mean = [F.avg(F.element_at("vector", i + 1)) for i in range(len(VECTOR))]
-    users = seeds.join(vectors, "track_id").groupBy("persona").agg(F.array(*mean).alias("user_vector"))
-    tracks = vectors.join(c.tracks().select("track_id", "track_popularity"), "track_id").join(genre, "track_id")
-    pairs = tracks.join(F.broadcast(users), F.lit(True), "cross").join(F.broadcast(seeds), ["persona", "track_id"], "left_anti")
-    return pairs.select("persona", "track_id", "track_popularity", "genre", F.round(cosine(F.col("vector"), F.col("user_vector")), 9).alias("similarity")), seeds
+    users = steps.write(seeds.join(tracks.select("track_id", "vector"), "track_id").groupBy("persona").agg(F.array(*mean).alias("user_vector")))
+    return tracks.where("genre is not null"), users, seeds, scaler
+
+
+#: Personas that are compared with the catalog at once.
+AT_ONCE = 1000
+
+
+def persona_scores(c: Catalog, seed: int = SEED, tables: tuple | None = None) -> tuple[DataFrame, DataFrame]:
+    """(scored candidates of each persona, their seeds), written once: metrics and checks read them again and again. Personas
+    are queries against the whole catalog, at most AT_ONCE of them sent to all tasks at a time."""
+    tracks, users, seeds, _ = tables or persona_tables(c, seed)
+    steps, scored = Steps(c.spark, "scores"), None
+    blocks = -(-users.count() // AT_ONCE)
+    for b in range(max(1, blocks)):
+        part = users if blocks < 2 else users.where(F.pmod(F.xxhash64("persona"), F.lit(blocks)) == b)
+        pairs = tracks.join(F.broadcast(part), F.lit(True), "cross").join(seeds, ["persona", "track_id"], "left_anti")
+        rows = steps.write(pairs.select("persona", "track_id", "track_popularity", "genre", F.round(cosine(F.col("vector"), F.col("user_vector")), 9).alias("similarity")))
+        scored = rows if scored is None else scored.unionByName(rows)
+    return scored, seeds
 
 
 _PICK = "select persona, track_id, {sim} as similarity, position, relaxed from (select *, row_number() over (partition by persona order by {sim} desc, track_popularity desc, track_id) as position from ({rows})) where position <= {limit}"
