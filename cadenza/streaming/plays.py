@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.profiles import upsert
+from ..sources.buckets import Buckets
 
 
 def play_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -27,23 +28,11 @@ def rollup(batch: DataFrame) -> DataFrame:
     return batch.select("user_id", F.lit("recent").alias("source"), track, F.col("ts").alias("played_at")).groupBy("user_id", "source", "track_id").agg(F.max("played_at").alias("played_at"), F.count("*").alias("interaction_count"))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    """Through Hadoop's file systems, so that any store will do."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def upserting(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Merges each batch into the newest version of the target, a folder with one subfolder for each batch; a batch that runs
-    again after a failure replaces its own version. The version before the last stays for that, older ones are deleted."""
+def upserting(events: DataFrame, target: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merges each batch into a table in buckets by user; only the buckets of the batch's users are written anew, and a batch that
+    runs again after a failure changes nothing twice. read with Buckets(spark, target, ["user_id"]).read()."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = rollup(batch)
-        if epoch:
-            new = upsert(spark.read.parquet(f"{target}/v{epoch - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{target}/v{epoch}")
-        if epoch > 1:
-            _delete(spark, f"{target}/v{epoch - 2}")
+        Buckets(batch.sparkSession, target, ["user_id"], buckets).merge(rollup(batch), upsert, epoch)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).trigger(availableNow=True).start()
