@@ -169,27 +169,6 @@ def profile_full(c: Catalog) -> DataFrame:
     return rows.select("user_id", "tracks", *VECTOR, "archetype", "mood", F.coalesce("genre_name", F.lit("pop")).alias("genre"))
 
 
-def summary(rows: DataFrame) -> Column:
-    """Lines about a row of profile_full."""
-    pct = lambda f: F.format_number(F.col(f) * 100, 1)
-    return F.concat_ws(
-        "\n",
-        F.concat(F.lit("Archetype: "), "archetype"),
-        F.concat(F.lit("Analyzed: "), F.col("tracks").cast("string"), F.lit(" tracks")),
-        F.concat(F.lit("Energy: "), pct("energy"), F.lit("% | Danceability: "), pct("danceability"), F.lit("% | Valence: "), pct("valence"), F.lit("%")),
-        F.concat(F.lit("Mood: "), "mood"),
-        F.concat(F.lit("Genre: "), "genre"),
-    )
-
-
-
-@query("profile_lines", "with " + SIGNALS_SQL + f", m as (select user_id, count(*) as tracks, {_MEANS} from signals join audio_features using (track_id) group by 1) select user_id, 'Archetype: ' || {archetype_sql()} || chr(10) || 'Analyzed: ' || tracks || ' tracks' as summary from m")
-def profile_lines(c: Catalog) -> DataFrame:
-    """The first lines of each profile's summary."""
-    rows = profile_full(c)
-    return rows.select("user_id", F.array_join(F.slice(F.split(summary(rows), "\n"), 1, 2), "\n").alias("summary"))
-
-
 @query("w_dense_rank", "select track_id, track_popularity, dense_rank() over (order by track_popularity desc nulls last) as position from tracks")
 def w_dense_rank(c: Catalog) -> DataFrame:
     """The dense rank of popularity over all tracks: only its different values (at most 101) are ordered in one task."""

@@ -73,30 +73,6 @@ def resolved_vector(mode: str = "auto", least: str = "developing") -> tuple[Colu
     return vector, why
 
 
-def highlights(most: int = 6) -> Column:
-    """Array of (kind, text) about a profile with feature means, genres (array of (genre, pct), largest first) and coverage_pct."""
-    named = {"energy": "energy", "danceability": "danceability", "valence": "positivity", "acousticness": "acousticness", "instrumentalness": "instrumentalness", "speechiness": "speechiness"}
-    parts = F.filter(F.array(*[F.struct((F.col(f) * 100).alias("pct"), F.lit(n).alias("name")) for f, n in named.items()]), lambda s: s["pct"].isNotNull())
-    ordered = F.array_sort(parts)
-    top, low = F.element_at(ordered, -1), F.element_at(ordered, 1)
-    first, second = F.try_element_at("genres", F.lit(1)), F.try_element_at("genres", F.lit(2))
-    pace = F.when(F.col("tempo") >= 130, "fast").when(F.col("tempo") >= 90, "medium").otherwise("slow")
-    e, v = F.col("energy"), F.col("valence")
-    blend = F.when((e >= 0.7) & (v >= 0.6), "lively and bright").when((e >= 0.7) & (v < 0.4), "lively and dark").when((e < 0.5) & (v >= 0.6), "calm and bright").when((e < 0.5) & (v < 0.4), "calm and sad")
-    some = F.size(parts) > 0
-    line = lambda ok, kind, pattern, *args: F.when(ok, F.struct(F.lit(kind).alias("kind"), F.format_string(pattern, *args).alias("text")))
-    lines = F.array(
-        line(some, "strongest_feature", "Most of all your music has %s (%.1f%%).", top["name"], top["pct"]),
-        line(some & (top["name"] != low["name"]), "weakest_feature", "It has little %s (%.1f%%).", low["name"], low["pct"]),
-        line(first.isNotNull(), "dominant_genre", "%s is %.1f%% of what you hear.", F.initcap(first["genre"]), first["pct"]),
-        line(second.isNotNull(), "genre_concentration", "%s and %s together are %.1f%%.", first["genre"], second["genre"], first["pct"] + second["pct"]),
-        line(F.col("tempo") > 0, "tempo", "Your pace is %s, %.0f beats a minute.", pace, F.col("tempo")),
-        line(F.col("coverage_pct") > 0, "coverage", "%.1f%% of your tracks are in the catalog.", F.col("coverage_pct")),
-        line(blend.isNotNull(), "energy_valence_combo", "Your tracks are %s.", blend),
-    )
-    return F.slice(F.filter(lines, lambda x: x.isNotNull()), 1, most)
-
-
 def traits(similarity: Column) -> tuple[Column, Column]:
     """Of an array of (feature, compatibility) the three highest and the three lowest, each with a label."""
     ordered = F.array_sort(F.transform(similarity, lambda s: F.struct((-s["compatibility"]).alias("o"), s["feature"].alias("feature"), s["compatibility"].alias("compatibility"))))
@@ -135,17 +111,6 @@ def profile_archetype(c: Catalog) -> DataFrame:
     return listener_means(c).select("user_id", "tracks", F.expr(archetype_sql()).alias("archetype"))
 
 
-@query("profile_recap")
-def profile_recap(c: Catalog) -> DataFrame:
-    """Each user's means, genres and highlights."""
-    from .profiles import profile_genres
-
-    genres = profile_genres(c).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", F.col("genre_name").alias("genre"), "pct"))), lambda s: F.struct(s["genre"].alias("genre"), s["pct"].alias("pct"))).alias("genres"))
-    known = signals(c).join(c.tracks().select("track_id").withColumn("known", F.lit(1)), "track_id", "left").groupBy("user_id").agg((100.0 * F.count("known") / F.count("*")).alias("coverage_pct"))
-    rows = listener_means(c).join(genres, "user_id", "left").join(known, "user_id")
-    return rows.withColumn("highlights", F.transform(highlights(), lambda h: h["text"])).select("user_id", "tracks", "coverage_pct", F.array_join("highlights", " ").alias("recap"))
-
-
 @query("f_search", "select track_id, track_name, artist_name, track_popularity from tracks join artists using (artist_id) where contains(lower(track_name), '00012') or contains(lower(artist_name), '00012') order by track_popularity desc, track_id limit 10")
 def f_search(c: Catalog) -> DataFrame:
     return search(c.relation("tracks artists").select("track_id", "track_name", "artist_name", "track_popularity"), "00012")

@@ -367,17 +367,52 @@ def embedded(users: DataFrame, axes: Projection) -> DataFrame:
     return users.withColumn("embedding", axes.apply(F.col("user_vector")))
 
 
-def recommendations(c: Catalog, limit: int = 10) -> DataFrame:
-    """Recommendations for all users with likes."""
+def _likes(c: Catalog) -> DataFrame:
     from .signals import likes
 
-    catalog, users, axes = _users(c)
-    liked = likes(c).join(catalog, "track_id")
+    return likes(c).select("user_id", "track_id")
+
+
+def _tastes(c: Catalog, catalog: DataFrame) -> DataFrame:
+    """(user_id, profile_genres: map of per cents, top_artists) from the likes."""
+    liked = _likes(c).join(catalog, "track_id")
     tastes = liked.select("user_id", F.explode("genres").alias("g")).groupBy("user_id", "g").agg(F.count("*").alias("n"))
     tastes = tastes.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(W.partitionBy("user_id"))).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "pct"))).alias("profile_genres"))
     artists = liked.groupBy("user_id").agg(F.collect_set("artist_name").alias("top_artists"))
-    users = users.join(tastes, "user_id", "left").join(artists, "user_id", "left")
-    return recommend_from(catalog, users, axes, likes(c).select("user_id", "track_id"), limit)
+    return artists.join(tastes, "user_id", "left")
+
+
+def recommendations(c: Catalog, limit: int = 10) -> DataFrame:
+    """Recommendations for all users with likes."""
+    catalog, users, axes = _users(c)
+    return recommend_from(catalog, users.join(_tastes(c, catalog), "user_id", "left"), axes, _likes(c), limit)
+
+
+_LIKED = "l as (select distinct user_id, 1 + cast(json_extract_string(props, '$.k') as bigint) as track_id from events where event_type = 'purchase')"
+_ZV = _Z.replace("with s as", "zs as") + ", zv as (select track_id, artist_name, track_popularity, [" + ", ".join(f"({f} - m_{f}) / coalesce(nullif(s_{f}, 0), 1)" for f in VECTOR) + "] as v from tracks join artists using (artist_id) join audio_features using (track_id) cross join zs)"
+_USERS = "uv as (select user_id, [" + ", ".join(f"avg(v[{i + 1}])" for i in range(len(VECTOR))) + "] as u from l join zv using (track_id) group by 1)"
+_PRIOR_OF = "ln(1 + least(greatest(track_popularity / 100.0, 0), 1) * 100) / ln(101.0)"
+
+
+@query(
+    "rec_pool",
+    f"""with {_LIKED}, {_ZV}, {_USERS}, sims as (select user_id, track_id, track_popularity, artist_name, round(case when list_dot_product(v, v) = 0 or list_dot_product(u, u) = 0 then 0 else list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u))) end, 9) as sim from uv cross join zv where not exists (select 1 from l where l.user_id = uv.user_id and l.track_id = zv.track_id)),
+    ranked as (select *, row_number() over (partition by user_id order by sim desc, track_popularity desc, track_id) as position from sims),
+    tg as (select track_id, list(distinct genre_name) as genres from playlist_tracks join genres using (genre_id) group by 1),
+    gp as (select user_id, g, n * 100.0 / sum(n) over (partition by user_id) as pct from (select user_id, unnest(genres) as g, count(*) as n from l join zv using (track_id) join tg using (track_id) group by 1, 2)),
+    ga as (select r.user_id, r.track_id, least(sum(pct / 100), 1) as genre_score from (select user_id, track_id, unnest(genres) as g from ranked join tg using (track_id) where position <= 50) r join gp on gp.user_id = r.user_id and gp.g = r.g group by 1, 2),
+    la as (select distinct user_id, artist_name from l join zv using (track_id)), p as (select *, {_PRIOR_OF} as prior from ranked where position <= 50)
+    select p.user_id, p.track_id, cast(position as int) as position, round(sim, 6) as similarity, round(coalesce(genre_score, 0) * 1.000000000001, 6) as genre_score, case when la.user_id is not null then 1.0 else 0.0 end as artist_score,
+        round((0.45 * (sim + 1) / 2 + 0.25 * (sim + 1) / 2 + 0.10 * coalesce(genre_score, 0) + 0.04 * case when la.user_id is not null then 1.0 else 0.0 end + 0.06 * prior + 0.10 * (1 - prior)) * 1.000000000001, 6) as relevance
+    from p left join ga using (user_id, track_id) left join la on la.user_id = p.user_id and la.artist_name = p.artist_name""",
+)
+def rec_pool(c: Catalog) -> DataFrame:
+    """Each listener's fifty most similar tracks with all signals of relevance; all axes being kept, likeness on them is that of
+    the vectors."""
+    catalog, users, _ = _users(c)
+    pool = candidates(users, catalog, _likes(c), 50)
+    rows = relevance(pool.withColumn("representation", F.col("similarity")).join(_tastes(c, catalog), "user_id", "left"))
+    return rows.select("user_id", "track_id", "position", F.round("similarity", 6).alias("similarity"), rounded(F.col("genre_score"), 6).alias("genre_score"), "artist_score", rounded(F.col("relevance"), 6).alias("relevance"))
 
 
 @query("rec_rank6")

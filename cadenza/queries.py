@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import evaluation, labels, listeners, matching, personas, profiles, quality, recommend, serving, statistics, transforms, windows  # noqa: F401
+from .operators import evaluation, labels, listeners, matching, personas, profile_report, profiles, quality, recommend, serving, statistics, transforms, windows  # noqa: F401
 from .operators.registry import ORACLES, QUERIES
 from .operators.reports import REPORTS
 from .sources.catalog import Catalog
