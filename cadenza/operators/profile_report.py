@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.features import ARCHETYPES, archetype_sql
 from ..schema import VECTOR
 from ..sources.catalog import Catalog
+from ..sources.files import as_documents, from_documents
 from .labels import TAGLINES, tagline
 from .registry import query
 from .reports import MOOD, mood
@@ -150,6 +151,20 @@ def recap(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("user_id", overview.alias("overview"), personality.alias("personality"), F.slice("genres", 1, 6).alias("genres"), F.slice("artists", 1, 10).alias("artists"), "moods", highlights().alias("highlights"))
 
 
+def selected(songs: DataFrame) -> DataFrame:
+    """The profile of chosen songs (user_id, VECTOR, genre, track_popularity), as a page computes it: missing features count as 0
+    in means and as 0.5 in moods, a missing genre is pop, per cents come from the means to four digits. Returns user_id,
+    songs, means, <feature>_pct, avg_tempo, avg_loudness, avg_popularity, genres (value, n, pct), moods (value, n, pct),
+    archetype, tagline, description."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    rows = songs.groupBy("user_id").agg(F.count("*").alias("songs"), *[rounded(F.avg(zero(f)), 4).alias(f) for f in VECTOR], rounded(F.avg(zero("track_popularity")), 1).alias("avg_popularity"))
+    rows = rows.withColumns({f"{f}_pct": rounded(F.col(f) * 100.0, 1) for f in BOUNDED} | {"avg_tempo": rounded(F.col("tempo"), 1), "avg_loudness": rounded(F.col("loudness"), 2), "archetype": F.expr(archetype_sql())})
+    named = songs.select("user_id", F.coalesce("genre", F.lit("pop")).alias("genre"), F.expr(mood(0.5, MOOD).replace("energy", "coalesce(energy, 0.5)").replace("valence", "coalesce(valence, 0.5)")).alias("mood"))
+    for value, name in (("genre", "genres"), ("mood", "moods")):
+        rows = rows.join(shares(named, value, name), "user_id")
+    return rows.withColumns({"tagline": tagline(F.col("archetype")), "description": description(F.col("archetype"))})
+
+
 # Queries over all listeners of the signals.
 
 
@@ -243,3 +258,31 @@ def profile_recap(c: Catalog) -> DataFrame:
     rows = recap(_profiles(c), _counts(c))
     artists = F.coalesce(F.array_join(F.transform("artists", lambda s: F.concat(s["value"], F.lit(" ("), s["n"].cast("string"), F.lit(")"))), ", "), F.lit(""))
     return rows.select("user_id", "overview.*", "personality.archetype", _said("genres").alias("genres"), artists.alias("artists"), F.array_join(F.transform("highlights", lambda h: h["text"]), " ").alias("highlights"))
+
+
+_CHOSEN = (
+    f"with {SIGNALS_SQL}, g as (select track_id, min(genre_name) as genre from playlist_tracks join genres using (genre_id) group by 1), c as (select user_id, track_popularity, case when track_id % 5 <> 0 then genre end as genre, {', '.join(f'case when track_id % 7 <> 0 then {f} end as {f}' for f in VECTOR)} from (select distinct user_id, track_id from signals) join tracks using (track_id) left join audio_features using (track_id) left join g using (track_id)), "
+    + "named as (select user_id, coalesce(genre, 'pop') as genre, " + mood(0.5, MOOD).replace("energy", "coalesce(energy, 0.5)").replace("valence", "coalesce(valence, 0.5)") + " as mood from c), "
+    + ", ".join(_sql_shares(*x) for x in (("genre", "named", "genre"), ("mood", "named", "mood")))
+    + f", p as (select *, {', '.join(f'round({f} * 100.0 * {TIE}, 1) as {f}_pct' for f in BOUNDED)}, round(tempo * {TIE}, 1) as avg_tempo, round(loudness * {TIE}, 2) as avg_loudness, {archetype_sql()} as archetype from (select user_id, count(*) as songs, {', '.join(f'round(avg(coalesce({f}, 0.0)::double) * {TIE}, 4) as {f}' for f in VECTOR)}, round(avg(coalesce(track_popularity, 0)) * {TIE}, 1) as avg_popularity from c group by 1))"
+)
+
+
+@query("profile_browser", _CHOSEN + f" select p.*, {_SQL_TAG} as tagline, {_SQL_TEXT} as description, {_sql_said('genre', 1000)} as genres, {_sql_said('mood', 4)} as moods from p")
+def profile_browser(c: Catalog) -> DataFrame:
+    """The profile of each listener's tracks as chosen songs, of which some lack genre or features."""
+    genre = c.relation("playlist_tracks genres").groupBy("track_id").agg(F.min("genre_name").alias("genre"))
+    rows = signals(c).select("user_id", "track_id").distinct().join(c.tracks().select("track_id", "track_popularity"), "track_id").join(c.audio_features(), "track_id", "left").join(genre, "track_id", "left")
+    k = F.col("track_id")
+    rows = rows.select("user_id", "track_popularity", F.when(k % 5 != 0, F.col("genre")).alias("genre"), *[F.when(k % 7 != 0, F.col(f)).alias(f) for f in VECTOR])
+    out = selected(rows)
+    return out.select(*[x for x in out.columns if x not in ("genres", "moods")], _said("genres").alias("genres"), _said("moods").alias("moods"))
+
+
+@query("f_documents", _P + " select user_id, archetype, tracks, energy, coalesce((select string_agg(value, ',' order by k) from genre_k x where x.user_id = p.user_id), '') as genres from p")
+def f_documents(c: Catalog) -> DataFrame:
+    """Profiles written as JSON documents and read back by their schema."""
+    rows = _profiles(c)
+    kinds = rows.drop("user_id").schema
+    back = from_documents(as_documents(rows, ["user_id"]), kinds)
+    return back.select("user_id", "archetype", "tracks", "energy", F.coalesce(F.array_join(F.transform("genres", lambda s: s["value"]), ","), F.lit("")).alias("genres"))

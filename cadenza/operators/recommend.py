@@ -259,6 +259,20 @@ def matched_genres() -> Column:
     return F.filter(F.coalesce("genres", F.array().cast("array<string>")), lambda g: F.coalesce(F.col("profile_genres")[g], F.lit(0.0)) / 100 >= MENTION["genre"])
 
 
+def result_rows(rows: DataFrame) -> DataFrame:
+    """Rows as they are handed out: user_id, rank, track_id, track_name, artist_name, genre_name, track_popularity, scores to four
+    digits, features and explanation as structs. rows: these columns, similarity, relevance, the features, aligned
+    (aligned_features()), narrative, and the signals genre_score, artist_score, novelty, matched_genres."""
+    explanation = F.struct(
+        F.col("aligned").alias("strongest_feature_alignments"),
+        F.struct("matched_genres", half_up(F.col("genre_score"), 4).alias("score"), (F.col("genre_score") >= MENTION["genre"]).alias("above_threshold")).alias("genre_contribution"),
+        F.struct((F.col("artist_score") >= MENTION["artist"]).alias("is_preferred_artist"), half_up(F.col("artist_score"), 4).alias("score")).alias("artist_contribution"),
+        F.struct(half_up(F.col("novelty"), 4).alias("score"), (F.col("novelty") >= MENTION["novelty"]).alias("is_novel")).alias("novelty_contribution"),
+        "narrative",
+    )
+    return rows.select("user_id", "rank", "track_id", "track_name", "artist_name", "genre_name", "track_popularity", half_up(F.col("similarity"), 4).alias("similarity_score"), half_up(F.col("relevance"), 4).alias("relevance_score"), F.struct(*VECTOR).alias("audio_features"), explanation.alias("explanation"))
+
+
 # Queries: embeddings stand for tracks (64 dimensions), the first vectors for users.
 
 _E = "with e as (select vec_id, label, embedding::double[] as v from embeddings)"

@@ -83,3 +83,34 @@ def statements(script: str) -> list[str]:
 def run_script(spark: SparkSession, script: str, args: dict[str, Any] | None = None) -> list[DataFrame]:
     """Runs statements one after another, each on its own: there are no transactions."""
     return [spark.sql(s, args=args) if args else spark.sql(s) for s in statements(script)]
+
+
+def fetch_all(spark: SparkSession, sql: str, args: dict[str, Any] | None = None, most: int = 100_000) -> list[dict[str, Any]]:
+    """The rows of a small result as dictionaries; a larger one is refused, since it belongs in a table."""
+    rows = (spark.sql(sql, args=args) if args else spark.sql(sql)).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return [r.asDict(recursive=True) for r in rows]
+
+
+def fetch_one(spark: SparkSession, sql: str, args: dict[str, Any] | None = None) -> dict[str, Any] | None:
+    """The first row, or none."""
+    row = (spark.sql(sql, args=args) if args else spark.sql(sql)).first()
+    return None if row is None else row.asDict(recursive=True)
+
+
+def fetch_scalar(spark: SparkSession, sql: str, args: dict[str, Any] | None = None) -> Any:
+    """The first column of the first row, or none."""
+    row = (spark.sql(sql, args=args) if args else spark.sql(sql)).first()
+    return None if row is None else row[0]
+
+
+def as_documents(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, document): the other columns of each row as one JSON object; nulls are written."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def from_documents(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """rows with the fields of their document (JSON) as columns; a text that is no such document has nulls."""
+    return rows.withColumn("document", F.from_json("document", schema)).select(*[c for c in rows.columns if c != "document"], "document.*")

@@ -333,3 +333,44 @@ def test_recommendations_equal_plain_version(spark):
             chosen.append(k)
         assert [r[0] for r in got[u]] == [r[0] for r in out]
         assert np.allclose([r[1:] for r in got[u]], [r[1:] for r in out], atol=2e-4)
+
+
+def test_fetching_and_expectations(spark):
+    from cadenza.operators import quality
+    from cadenza.sources import files
+
+    spark.range(3).createOrReplaceTempView("three")
+    assert files.fetch_scalar(spark, "select count(*) from three where id >= :low", {"low": 1}) == 2
+    assert files.fetch_one(spark, "select id from three where id > 5") is None and files.fetch_one(spark, "select max(id) as m from three") == {"m": 2}
+    assert sorted(r["id"] for r in files.fetch_all(spark, "select * from three")) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        files.fetch_all(spark, "select * from three", most=2)
+    got = {r.table: (r.found, r.passed) for r in quality.expectations(spark, {"three": 3, "absent": 1}).collect()}
+    assert got == {"three": (3, True), "absent": (None, False)}
+    df = spark.createDataFrame([(1, None, [1.5]), (2, "x", None)], "k int, s string, a array<double>")
+    docs = files.as_documents(df, ["k"])
+    assert '"s":null' in docs.where("k = 1").first().document
+    assert sorted(map(tuple, files.from_documents(docs, df.drop("k").schema).collect())) == sorted(map(tuple, df.collect()))
+    assert files.from_documents(spark.createDataFrame([(1, "no")], "k int, document string"), df.drop("k").schema).first().s is None
+
+
+def test_result_rows(spark):
+    row = (1, 1, "t", "Name", "A", "pop", 50, 0.123456, 0.5, 0.2, ["pop"], 0.0, 0.7, "Said.", *[0.1] * 9)
+    df = spark.createDataFrame([row], "user_id int, rank int, track_id string, track_name string, artist_name string, genre_name string, track_popularity int, similarity double, relevance double, genre_score double, matched_genres array<string>, artist_score double, novelty double, narrative string, " + ", ".join(f"{f} double" for f in VECTOR))
+    df = df.withColumns({"raw": F.array(*VECTOR), "user_raw": F.array(*[F.lit(0.2)] * 9)}).withColumn("aligned", recommend.aligned_features((1.0,) * 9))
+    r = recommend.result_rows(df).first()
+    assert (r.similarity_score, r.audio_features[VECTOR[0]], r.explanation.narrative) == (0.1235, 0.1, "Said.")
+    assert r.explanation.genre_contribution.above_threshold and r.explanation.novelty_contribution.is_novel and not r.explanation.artist_contribution.is_preferred_artist
+    assert r.explanation.strongest_feature_alignments[0].delta == -0.1
+
+
+def test_lift_of_recommendations(spark):
+    """rec_lift's parts on rows: the mean of what was found less that of tracks drawn by a hash."""
+    from cadenza.operators import listeners
+
+    catalog = spark.createDataFrame([(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(20)], "track_id long, vector array<double>")
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "user_id int, user_vector array<double>")
+    recs = spark.createDataFrame([(1, 1.0), (1, 0.9), (2, 0.8)], "user_id int, similarity double")
+    got = {r.user_id: r for r in listeners.lift(recs, users, catalog, 50).collect()}
+    assert math.isclose(got[1].lift, 0.95 - 0.5) and got[1].passed
+    assert math.isclose(got[2].lift, 0.8 - math.sqrt(0.5)) and not got[2].passed
