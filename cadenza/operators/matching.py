@@ -216,17 +216,18 @@ def _sql_closed(stage: str, pairs: str, sure: str, unsure: str, method: str) ->
 
 
 _SIGNS = f"k.track_id, case when r.album_name is not null and {_sql_norm('r.album_name')} = {_sql_norm('k.album_name')} then 1 else 0 end as album, case when abs(r.duration_ms - k.duration_ms) <= {DURATION} then 1 else 0 end as near, k.track_popularity as pop, k.release_year as year"
-_NAME_JOIN = "select r.record_id, {signs}, 1.0 as score, 1.0 as best from r join k on r.{name} = k.n and (r.a = k.a or r.bare = k.bare or r.a = k.bare or r.bare = k.a) and r.{name} <> '' where r.record_id not in (select record_id from {done})"
+_NAME_JOIN = "select r.record_id, {signs}, 1.0 as score, 1.0 as best from r join pr using (record_id) join k using (track_id) where r.{name} = k.n and r.{name} <> '' and r.record_id not in (select record_id from {done})"
 _M = f"""with c as materialized (select *, {_TITLE} as title from tracks join artists using (artist_id) join albums using (album_id)),
     k as materialized (select track_id, n, v, {_sql_grams('n')} as gn, {_sql_grams('v')} as gv, a, regexp_replace(regexp_replace(a, '^the\\s+', ''), '^a\\s+', '') as bare, album_name, duration_ms, release_year, track_popularity from (select *, {_sql_norm('title')} as n, {_sql_variant('title')} as v, {_sql_norm('artist_name')} as a from c)),
     r as materialized (select record_id, outside_id, n, v, {_sql_grams('n')} as gn, {_sql_grams('v')} as gv, a, regexp_replace(regexp_replace(a, '^the\\s+', ''), '^a\\s+', '') as bare, album_name, duration_ms from
         (select *, {_sql_norm('track_name')} as n, {_sql_variant('track_name')} as v, {_sql_norm('artist_name')} as a from (select track_id as record_id, case when track_id % 4 = 0 then track_id::varchar end as outside_id, {_ASKED} as track_name, case when track_id % 6 = 1 then 'The ' || artist_name else artist_name end as artist_name, case when track_id % 3 <> 0 then album_name end as album_name, case when track_id % 7 <> 0 then duration_ms end as duration_ms from c))),
+    pr as materialized (select record_id, track_id, bool_or(form <> '') as named from (select record_id, unnest([a, bare]) as form from r) join (select track_id, unnest([a, bare]) as form from k) using (form) group by 1, 2),
     {_sql_closed('one', f"select r.record_id, {_SIGNS}, 1.0 as score, 1.0 as best from r join k on r.outside_id = k.track_id::varchar", '1.0', '1.0', 'exact_id')},
     {_sql_closed('two', _NAME_JOIN.format(signs=_SIGNS, name='n', done='one'), '0.95', '0.90', 'normalized_exact')},
     done2 as (select record_id from one union all select record_id from two),
     {_sql_closed('three', _NAME_JOIN.format(signs=_SIGNS, name='v', done='done2'), '0.85', '0.75', 'variant_normalized')},
     done3 as (select record_id from done2 union all select record_id from three),
-    f as materialized (select r.record_id, {_SIGNS}, greatest({_sql_dice('n', 'n')}, {_sql_dice('v', 'v')}, {_sql_dice('n', 'v')}) as score from r join k on (r.a = k.a or r.bare = k.bare or r.a = k.bare or r.bare = k.a) and k.a <> '' where r.record_id not in (select record_id from done3)),
+    f as materialized (select r.record_id, {_SIGNS}, greatest({_sql_dice('n', 'n')}, {_sql_dice('v', 'v')}, {_sql_dice('n', 'v')}) as score from r join pr using (record_id) join k using (track_id) where named and r.record_id not in (select record_id from done3)),
     {_sql_closed('four', f"select *, max(score) over (partition by record_id) as best from f where score >= {PER_CENT / 100} qualify score >= max(score) over (partition by record_id) - {BAND}", 'floor(max(best) * 10000 + 0.5) / 10000', 'floor(max(best) * 10000 + 0.5) / 10000', 'fuzzy_trigram')},
     m as materialized (select * from one union all select * from two union all select * from three union all select * from four
         union all select record_id, null, 'unmatched', 0.0, 'none' from r where record_id not in (select record_id from done3) and record_id not in (select record_id from four)) """
