@@ -14,6 +14,7 @@ from ..sources.catalog import Catalog
 from .registry import query
 from .reports import MOOD, mood
 from .signals import SIGNALS_SQL, signals
+from .windows import TIE, rounded
 
 NOW = "2024-02-01 00:00:00"
 
@@ -94,14 +95,14 @@ def _taste(c: Catalog) -> tuple[DataFrame, DataFrame]:
     return taste_vectors(signals(c).withColumn("confidence", F.lit(1.0)), c.audio_features(), _T)
 
 
-@query("taste_groups", _SIGNAL + _FIRST + _W + _G + " select user_id, source, tracks, round(total_weight, 5) as total_weight, " + ", ".join(f"round({f}, 5) as {f}" for f in VECTOR) + " from g")
+@query("taste_groups", _SIGNAL + _FIRST + _W + _G + " select user_id, source, tracks, round(total_weight, 5) as total_weight, " + ", ".join(f"round({f} * {TIE}, 5) as {f}" for f in VECTOR) + " from g")
 def taste_groups(c: Catalog) -> DataFrame:
-    return _taste(c)[0].select("user_id", "source", "tracks", F.round("total_weight", 5).alias("total_weight"), *[F.round(f, 5).alias(f) for f in VECTOR])
+    return _taste(c)[0].select("user_id", "source", "tracks", F.round("total_weight", 5).alias("total_weight"), *[rounded(F.col(f), 5).alias(f) for f in VECTOR])
 
 
-@query("taste_final", _SIGNAL + _FIRST + _W + _G + _U + " select user_id, cast(tracks as bigint) as tracks, case when tracks < 3 then 'insufficient_data' when tracks < 15 then 'limited' when tracks < 40 then 'developing' else 'established' end as status, " + ", ".join(f"round({f}, 5) as {f}" for f in VECTOR) + " from u")
+@query("taste_final", _SIGNAL + _FIRST + _W + _G + _U + " select user_id, cast(tracks as bigint) as tracks, case when tracks < 3 then 'insufficient_data' when tracks < 15 then 'limited' when tracks < 40 then 'developing' else 'established' end as status, " + ", ".join(f"round({f} * {TIE}, 5) as {f}" for f in VECTOR) + " from u")
 def taste_final(c: Catalog) -> DataFrame:
-    return _taste(c)[1].select("user_id", "tracks", "status", *[F.round(f, 5).alias(f) for f in VECTOR])
+    return _taste(c)[1].select("user_id", "tracks", "status", *[rounded(F.col(f), 5).alias(f) for f in VECTOR])
 
 
 @query("profile_mood", _SIGNAL + f", m as (select user_id, {mood(0.5, MOOD)} as mood, count(*) as n from signals join audio_features using (track_id) group by 1, 2) select user_id, mood, n, round(n * 100.0 / sum(n) over (partition by user_id) * 1.000000000001, 1) as pct from m")
@@ -200,10 +201,10 @@ _THREE = (
 )
 
 
-@query("taste_three", _SIGNAL + _THREE + _G + " select user_id, cast(sum(tracks) as bigint) as tracks, " + ", ".join(f"round(avg({f}), 5) as {f}" for f in VECTOR) + " from g group by 1")
+@query("taste_three", _SIGNAL + _THREE + _G + " select user_id, cast(sum(tracks) as bigint) as tracks, " + ", ".join(f"round(avg({f}) * {TIE}, 5) as {f}" for f in VECTOR) + " from g group by 1")
 def taste_three(c: Catalog) -> DataFrame:
     rows = three_groups(signals(c)).withColumn("confidence", F.lit(1.0))
-    return taste_vectors(rows, complete(c.audio_features()), THREE)[1].select("user_id", "tracks", *[F.round(f, 5).alias(f) for f in VECTOR])
+    return taste_vectors(rows, complete(c.audio_features()), THREE)[1].select("user_id", "tracks", *[rounded(F.col(f), 5).alias(f) for f in VECTOR])
 
 
 # Keeping signals up to date.

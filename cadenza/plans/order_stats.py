@@ -88,11 +88,12 @@ def quantiles(rows: DataFrame, groups: list[str], value: str, order: str, ps: li
     wanted = sizes.select(*groups, "_size", F.explode(ranks).alias("_r")).select(*groups, "_size", "_r.*")
     found, parts = None, list(groups)
     while True:
-        before = F.sum("_n").over(W.partitionBy(*parts).orderBy("_bits")) - F.col("_n")  # of at most 2^16 counts
+        before = F.sum("_n").over(W.partitionBy(*parts).orderBy("_bits")) - F.col("_n")  # of some 2^16 counts at most
         cut = counts.select(*_keyed(parts), "_bits", "_n", "_low", "_high", before.alias("_before"))
         met = _same(wanted.withColumnRenamed("_bits", "_prefix") if "_bits" in wanted.columns else wanted, cut, ["_prefix" if k == "_prefix" else k for k in parts])
         met = met.where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n")))
-        met = steps.write(met.select(*groups, "_size", "i", "end", (F.col("rank") - F.col("_before")).alias("rank"), "_bits", "_low", "_high"))
+        met = met.select(*groups, "_size", "i", "end", (F.col("rank") - F.col("_before")).alias("rank"), "_bits", "_low", "_high")
+        met = steps.write(met) if shift else met  # read once in the last round
         sure = met.where((F.col("_low") == F.col("_high")) | F.lit(shift == 0)).select(*groups, "_size", "i", "end", F.col("_low").alias("v"))
         found = sure if found is None else found.unionByName(sure)
         wanted = met.where(F.col("_low") != F.col("_high")).drop("_low", "_high")

@@ -112,7 +112,10 @@ def test_running_total(spark, monkeypatch, one_part):
     assert got[2999] == sum(range(2999)) and got[0] == 0
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("narrow", [16, 8])
+def test_quantiles(spark, monkeypatch, narrow):
+    """In one round where values are few, else in rounds of so many bits."""
+    monkeypatch.setattr(order_stats, "NARROW", narrow)
     rows, df = table(spark)
     steps, ps = Steps(spark, "t"), [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     staged = steps.write(df.select("g", "x", order_stats.in_order(F.col("x")).alias("o")))
