@@ -31,10 +31,6 @@ def _batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def _planes(bits: int, size: int) -> np.ndarray:
-    return np.random.default_rng(11).standard_normal((size, bits))
-
-
 def _packed_tracks(catalog: DataFrame, steps: Steps, rows: int) -> tuple[DataFrame, pa.Table, int]:
     """(block, ids, popularity, vectors), the blocks' directions, and the number of dimensions. Members are ordered by
     popularity and id, as ties are."""
@@ -43,9 +39,9 @@ def _packed_tracks(catalog: DataFrame, steps: Steps, rows: int) -> tuple[DataFra
     n, size = catalog.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
     rows = max(rows, n // MOST)
     bits = min(15, max(0, int(np.ceil(np.log2(max(1, n) / rows)))))
+    planes = np.random.default_rng(11).standard_normal((size, bits))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = _planes(bits, size)
         for b in batches:
             x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
             side = (x @ planes >= 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
