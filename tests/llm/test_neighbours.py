@@ -254,6 +254,31 @@ def test_lines_that_share_a_bucket(spark):
     assert gone <= want and len(gone) >= 0.95 * len(want)
 
 
+def test_lines_of_open_buckets_are_compared_completely(spark):
+    """A thousand variants of one line at either side of the threshold: every line goes that brute force removes, and no other."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    base, rows = [word() for _ in range(20)], []
+    for _ in range(1000):
+        b = list(base)
+        for _ in range(rng.choice((1, 2))):
+            b[rng.randrange(len(b))] = word()
+        rows.append(" ".join(b))
+    rows = list(dict.fromkeys(rows))
+    sets, first = [windows(r) for r in rows], list(range(len(rows)))
+    for b in range(len(rows)):
+        near = {first[a] for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+        if near:
+            first[: b + 1] = [min(near) if x in near or x == b else x for x in first[: b + 1]]
+    assert removed(spark, rows) == {b for b in range(len(rows)) if first[b] != b}
+
+
+def test_collisions_of_codes_lose_no_line(spark, monkeypatch):
+    """With one count for all shingles their order says nothing of their frequency, and the links are the same."""
+    monkeypatch.setattr(line_dedup, "BINS", 1)
+    test_lines_that_share_a_bucket(spark)
+
+
 def test_white_space_of_lines_is_folded(spark):
     line = "one line with\ttabs and  spaces"
     assert removed(spark, [line, " ".join(line.split()) + "\r", "\t" + line.upper(), "another line of some words"]) == {1, 2}
