@@ -7,6 +7,7 @@ calibrated for each language; a score depends on the text alone.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 17, 8, (1, 2, 3), 8
 PREFIXES = range(3, 9)
 #: Bounds of the training sample: texts of each class, and the bytes of a text that may be drawn.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 2500, 4000, 16384
-#: Sample texts that the driver handles at once outside of training steps.
+#: Sample texts that are handled at once outside of training steps.
 CHUNK = 100
 _WORD = np.zeros(256, bool)
 _WORD[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -260,8 +261,15 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network:
     of an id's. Without labels of both kinds every score is the share of label 1. Other columns aren't read.
     """
     rows, prior = sample(docs, labels, **columns)
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return train([bytes(r["text"]) for r in rows], np.array([r["y"] for r in rows], np.int64), [r["lang"] or "" for r in rows], prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        net = train([r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64), [r["lang"] or "" for r in rows], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    common.ship(docs.sparkSession)
+    made = rows.repartition(1).mapInArrow(run, "net binary").collect()  # no partition at all, if the sample is known to be empty
+    return pickle.loads(made[0]["net"]) if made else train([], np.zeros(0, np.int64), [], prior)
 
 
 def with_score(docs: DataFrame, net: Network, text_col: str = "text", name: str = "score") -> DataFrame:

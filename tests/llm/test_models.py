@@ -142,6 +142,14 @@ def test_toxicity(spark):
     assert np.allclose(again.weights, net.weights) and again.thresholds == net.thresholds
 
 
+def test_network_is_not_trained_on_the_driver(spark, monkeypatch):
+    rows = toxic_rows(60)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity_cnn, "_log_odds", None)  # tasks import the module anew
+    assert toxicity_cnn.fit(docs, labels).weights.any()
+
+
 def test_labels_of_held_out_rows_are_never_read(spark):
     rows = toxic_rows(300)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
