@@ -2,11 +2,10 @@
 
 A line's shingles are its windows of WIDTH characters, one at every character (lower case, white space folded). Equal lines are
 one node. MinHash values over the shingles are banded into buckets, and lines of a bucket are verified exactly against its
-smallest line. Buckets that still hold more than one component are split by two further MinHash values, and the lines of each
-part are verified against two of them. That settles most large buckets by a number of pairs that grows with the lines. What is
-left is compared completely: all lines of buckets with several components are joined by their rarest shingles (a prefix filter,
-which loses no pair that reaches the threshold), and all pairs of different components that meet are verified. Union-find over
-the verified links gives the components, and one line of each stays.
+smallest line. Buckets that still hold more than one component are split by further MinHash values, one more at each depth, and
+the lines of each part are verified against two of them. That settles most large buckets by pairs that grow with the lines. What is
+left is compared completely: all pairs of different components in a bucket are verified, unless bitmaps of their shingles prove
+that they differ in too many. Union-find over the verified links gives the components, and one line of each stays.
 """
 
 from __future__ import annotations
@@ -24,10 +23,11 @@ from .components import components
 WIDTH = 9
 BANDS, ROWS = 8, 3
 THRESHOLD = 0.8
-#: How many MinHash values beyond a band's own split a bucket of several components before it is compared completely; their orders.
-DEPTH, ORDERS = 2, 3
-#: Counts of shingles that order them from rare to frequent, one for each residue of their hash; any order gives the same links.
-BINS = 1 << 16
+#: Rounds, and in each how many MinHash values beyond a band's own split a bucket of several components; their orders. What is then
+#: left is compared completely.
+DEPTHS, ORDERS = ((2,), (4, 6, 8)), 3
+#: 64-bit words of the bitmap that bounds how many shingles two lines can share.
+WORDS = 16
 #: Windows that one row of the sketch hashes.
 STEP = 12
 #: Bits of a filter that leaves out lines before they are shuffled: a table of at most FILTER_BITS / 64 rows, whatever the input.
@@ -146,57 +146,52 @@ def _links(sketch: DataFrame, shared: DataFrame, held: DataFrame, staged: common
     texts = staged.write(texts, "texts")
     stars = shared.where("k <> leader").select(F.col("leader").alias("u"), F.col("k").alias("v")).distinct()
     links = staged.write(_verified(stars, texts), "links")
-    for join in (_deeper, None):
+    for depths in (*DEPTHS, None):
         known = staged.write(components(links, rounds=3).select(F.col("node").alias("_n"), "component"), "known")
         placed = shared.join(known, F.col("k") == F.col("_n"), "left").select("k", "b", "key", F.coalesce("component", "k").alias("c"))
         placed = staged.write(placed, "placed")
         # Buckets of one component are settled.
         open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
         rest = placed.join(open_, F.col("key") == F.col("_key")).select("k", "c", "b", "key")
-        if join:
+        if depths:
             rest = rest.join(sketch.select(F.col("k").alias("_k"), "v"), F.col("k") == F.col("_k"))
-            pairs = _ends(rest.select("k", "c", F.explode(join()).alias("key")))
+            pairs = _ends(rest.select("k", "c", F.explode(_deeper(depths)).alias("key")))
             pairs = pairs.join(known, F.col("u") == F.col("_n"), "left").select("u", "v", F.coalesce("component", "u").alias("cu"))
             pairs = pairs.join(known, F.col("v") == F.col("_n"), "left").where(F.col("cu") != F.coalesce("component", "v")).select("u", "v")
         else:
-            rest = rest.select(F.col("k").alias("_k"), "c").distinct()
-            members = staged.write(texts.join(rest, F.col("k") == F.col("_k")).drop("_k"), "open")
-            pairs = _across(members)
+            pairs = _across(rest, texts)
         more = staged.write(links.unionByName(_verified(pairs, texts)), "links")
         staged.drop(placed, links, known)
         links = more
-    staged.drop(texts, members)
+    staged.drop(texts)
     return components(links)
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Of members (k, line, size, c) pairs (u, v) of different c, among them all that reach the threshold.
-
-    Two sets that reach it share one of the first size - t * size + 1 shingles of each in any order that both have; the order here
-    begins with the rare ones. A shingle's code is its count (of all with its residue) above 40 bits of its hash: codes that
-    collide bring further pairs and lose none.
-    """
-    sets = members.select("k", "c", "size", F.array_distinct(_shingles(F.col("line"))).alias("set"))
-    bins = sets.select(F.explode("set").alias("s")).groupBy(F.pmod("s", F.lit(BINS)).alias("bin")).agg(F.count("*").alias("n"))
-    bins = members.sparkSession.range(BINS).join(bins, F.col("id") == F.col("bin"), "left")
-    counts = bins.agg(F.array_sort(F.collect_list(F.struct("id", F.least(F.coalesce("n", F.lit(0)), F.lit(1 << 22)).alias("n")))).alias("a"))
-    counts = counts.select(F.transform("a", lambda x: x["n"]).alias("counts"))  # one row of BINS numbers
-    count = lambda s: F.get("counts", F.pmod(s, F.lit(BINS)).cast("int"))
-    codes = F.transform("set", lambda s: F.shiftleft(count(s), 40).bitwiseOR(F.shiftrightunsigned(s, 24)))
-    length = F.col("size") - F.ceil(F.lit(THRESHOLD) * F.col("size") - F.lit(1e-9)).cast("int") + F.lit(1)
-    keyed = sets.join(F.broadcast(counts)).select("k", "c", "size", F.explode(F.array_distinct(F.slice(F.array_sort(codes), F.lit(1), length))).alias("key"))
-    open_ = keyed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(F.col("key").alias("_key"))
-    keyed = keyed.join(open_, F.col("key") == F.col("_key")).drop("_key")
-    other = keyed.select(*[F.col(c).alias(f"{c}_") for c in keyed.columns])
-    met = keyed.join(other, (F.col("key") == F.col("key_")) & (F.col("k") < F.col("k_")) & (F.col("c") != F.col("c_")) & _fits("size", "size_"))
+def _across(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of members (k, c, key) all pairs (u, v) of one key and different c, but for those of which bitmaps of the lines' shingles
+    prove that they don't reach the threshold: a bit that one set has alone is at least one shingle that it has alone, and
+    sets that reach the threshold have few of these."""
+    lines = texts.join(members.select(F.col("k").alias("_k")).distinct(), F.col("k") == F.col("_k"))
+    each = lines.select("k", "size", F.explode(_shingles(F.col("line"))).alias("s"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1))
+    bits = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    maps = each.groupBy(F.col("k").alias("_k")).agg(F.first("size").alias("size"), *bits)
+    left = members.select("k", "c", "key").join(maps, F.col("k") == F.col("_k")).drop("_k")
+    right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
+    shared = F.lit(THRESHOLD / (1 + THRESHOLD)) * (F.col("size") + F.col("size_")) - F.lit(1e-6)
+    alone = lambda a, b: reduce(lambda x, y: x + y, [F.bit_count(F.col(f"w{i}{a}").bitwiseAND(F.bitwise_not(f"w{i}{b}"))) for i in range(WORDS)])
+    near = (alone("", "_") <= F.col("size") - shared) & (alone("_", "") <= F.col("size_") - shared)
+    met = left.join(right, (F.col("key") == F.col("key_")) & (F.col("k") < F.col("k_")) & (F.col("c") != F.col("c_")) & _fits("size", "size_") & near)
     return met.select(F.col("k").alias("u"), F.col("k_").alias("v")).distinct()
 
 
-def _deeper() -> Column:
+def _deeper(depths: tuple[int, ...]) -> Column:
     """Keys of the parts of a bucket (b, key) by the values after its band's own, in steps that have no divisor in common with
     their number."""
     value = lambda d, step: F.get("v", F.pmod(F.col("b") * ROWS + (ROWS + d) * step, F.lit(_VALUES)).cast("int"))
-    return F.array(*[F.xxhash64("key", F.lit(o), *[value(d, step) for d in range(DEPTH)]) for o, step in enumerate((1, 7, 13)[:ORDERS])])
+    further = [[value(d, step) for d in range(max(depths))] for step in (1, 7, 13)[:ORDERS]]
+    return F.array(*[F.xxhash64("key", F.lit(o), *row[:d]) for o, row in enumerate(further) for d in depths])
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, common.Staged]:

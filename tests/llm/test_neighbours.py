@@ -273,9 +273,9 @@ def test_lines_of_open_buckets_are_compared_completely(spark):
     assert removed(spark, rows) == {b for b in range(len(rows)) if first[b] != b}
 
 
-def test_collisions_of_codes_lose_no_line(spark, monkeypatch):
-    """With one count for all shingles their order says nothing of their frequency, and the links are the same."""
-    monkeypatch.setattr(line_dedup, "BINS", 1)
+def test_small_bitmaps_lose_no_line(spark, monkeypatch):
+    """With one word for all shingles bitmaps prove little, and the links are the same."""
+    monkeypatch.setattr(line_dedup, "WORDS", 1)
     test_lines_that_share_a_bucket(spark)
 
 
