@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import common, maxent_lm, source_audit
@@ -147,3 +149,15 @@ def test_scores_without_training_or_rows(spark):
     unseen = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (r,) = maxent_lm.lm_scores(spark.createDataFrame([(unseen, "a b")], "doc_id long, text string")).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_table_of_contexts_is_made_in_its_own_size():
+    ends = np.arange(maxent_lm.FORMS) % maxent_lm.ENDINGS
+    weights = np.random.default_rng(1).normal(0, 1, (maxent_lm.ROWS, maxent_lm.CLASSES)).astype(np.float32)
+    model = maxent_lm.Model(maxent_lm.Classes((), ends), weights, np.ones(maxent_lm.CLASSES, np.int64), pa.array([b"a"], pa.binary()), np.ones(1, np.int64), 1, 1, 1)
+    tracemalloc.start()
+    _, table = maxent_lm._loaded(-1, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    maxent_lm._LOADED.clear()
+    assert peak < 2 * table.nbytes and np.allclose((10.0 ** table[:1000]).sum(1), 1, atol=1e-4)
