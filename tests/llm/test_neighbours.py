@@ -279,6 +279,21 @@ def test_small_bitmaps_lose_no_line(spark, monkeypatch):
     test_lines_that_share_a_bucket(spark)
 
 
+def test_bitmaps_rule_out_lines_before_texts_are_read(spark, monkeypatch):
+    """Pairs that share a bucket and are far below the threshold aren't verified; those above it are all found."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for changed in [8] * 60 + [1] * 10:
+        a = [word() for _ in range(30)]
+        at = set(rng.sample(range(30), changed))
+        rows += [" ".join(a), " ".join(word() if k in at else w for k, w in enumerate(a))]
+    verified, seen = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts: seen.append(pairs.count()) or verified(pairs, texts))
+    assert removed(spark, rows) == {b for b in range(1, len(rows), 2) if jaccard(rows[b - 1], rows[b]) >= 0.8} == set(range(121, 140, 2))
+    assert sum(seen) <= 15
+
+
 def test_white_space_of_lines_is_folded(spark):
     line = "one line with\ttabs and  spaces"
     assert removed(spark, [line, " ".join(line.split()) + "\r", "\t" + line.upper(), "another line of some words"]) == {1, 2}
