@@ -1,6 +1,7 @@
 """The stages of the pipeline on rows: repeated rows, null ids, empty tables, clashing names; and the whole run."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,19 @@ def test_run(spark):
     assert max(sizes.values()) <= 2048
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     assert sum(labels.get(i) == 1 for i in want) <= 0.3 * sum(v == 1 for v in labels.values())
+
+
+def test_plans_of_a_finished_operator_are_freed(spark):
+    """The driver's JVM drops what Python dropped, so that a run of many operators doesn't fill it with plans."""
+    staged = corpus_pipeline.common.Staged(spark, "freed")
+    df = spark.range(10).selectExpr("id + 1 AS x")
+    kept = spark.sparkContext._jvm.java.lang.ref.WeakReference(df._jdf)
+    assert kept.get() is not None
+    del df
+    for _ in range(20):  # Python's side tells the JVM a moment later
+        staged.keep(spark.range(1))
+        if kept.get() is None:
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError("the plan is still held")
