@@ -74,6 +74,62 @@ def test_nearest_skips_blocks_and_has_no_nested_loop(spark, capsys):
     assert all(one[k] % 8 == k for k in range(8))
 
 
+def test_nearest_sends_users_once_a_chunk(spark, monkeypatch):
+    """Users go packed to the chunks that they meet, not each to each block; what is excluded goes to its own chunk alone."""
+    from cadenza.operators import nearest as module
+
+    rng = np.random.default_rng(3)
+    tracks = [(f"t{k:04d}", rng.normal(size=7).tolist(), int(rng.integers(0, 3))) for k in range(3000)]
+    users = [(k, rng.normal(size=7).tolist()) for k in range(200)]
+    excluded = {(k, f"t{j:04d}") for k in range(200) for j in range(k % 5, 3000, 97)}
+    asked, kept = [], module._asked
+
+    def counted(*args):
+        asked.append(kept(*args).count())
+        return kept(*args)
+
+    monkeypatch.setattr(module, "_asked", counted)
+    monkeypatch.setattr(module, "HELD", 1000)  # pairs are cut to the pools many times
+    frame = spark.createDataFrame(tracks, "track_id string, vector array<double>, track_popularity int")
+    got = module.nearest(spark.createDataFrame(users, "user_id int, user_vector array<double>"), frame, spark.createDataFrame(sorted(excluded), "user_id int, track_id string"), 20, 16)
+    assert sorted((r.user_id, r.track_id, round(r.similarity, 7), r.position) for r in got.collect()) == plain_nearest(users, tracks, excluded, 20)
+    assert sum(asked) < 200 * 10  # of 200 users and some two hundred blocks or more
+
+
+def test_catalog_of_recommendations_is_staged_once(spark):
+    """Its joins and groups are not in the plans of what reads it."""
+    from pathlib import Path
+
+    from cadenza.sources.catalog import Catalog
+
+    for folder in Path("/root/testdata").glob("sf0.001"):
+        catalog, users, _ = recommend._users(Catalog(spark, str(folder)))
+        for df in (catalog, users):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    import glob
+    import os
+
+    steps = Steps(spark, "t")
+    root = [r for r in glob.glob("/tmp/blockmgr-*") if os.access(r, os.R_OK)]
+    before = {f for r in root for f in glob.glob(f"{r}/*/shuffle_*")}
+    kept = steps.write(spark.range(1000).repartition(5, "id"))
+    assert {f for r in root for f in glob.glob(f"{r}/*/shuffle_*")} <= before and kept.count() == 1000
+    steps.drop(kept)
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        kept.collect()
+
+
+def test_diverse_passes_columns(spark):
+    rows = spark.createDataFrame([(1, k, "a" if k < 3 else f"b{k}", None if k == 4 else ["x"], [1.0, float(k)], 1.0 - k / 10, f"n{k}") for k in range(6)], "user_id int, track_id long, artist_name string, genres array<string>, vector array<double>, relevance double, name string")
+    got = recommend.diverse(rows, 4, keep=("name", "relevance")).orderBy("rank").collect()
+    assert [r.rank for r in got] == [1, 2, 3, 4] and all(r.name == f"n{r.track_id}" and r.relevance == 1.0 - r.track_id / 10 for r in got)
+    assert sum(r.track_id < 3 for r in got) <= 2 and got[0].track_id == 0
+
+
 def test_nearest_of_nothing(spark):
     users = spark.createDataFrame([(1, [1.0])], "user_id int, user_vector array<double>")
     none = spark.createDataFrame([], "track_id long, vector array<double>, track_popularity int")
