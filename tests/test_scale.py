@@ -96,6 +96,28 @@ def test_nearest_sends_users_once_a_chunk(spark, monkeypatch):
     assert sum(asked) < 200 * 10  # of 200 users and some two hundred blocks or more
 
 
+def test_cosine_topk_equals_all_pairs(spark, tmp_path):
+    """Null, empty and zero vectors, parts that are null or no numbers, copies; ties by id. No pair of plain vectors is joined."""
+    from cadenza.functions.features import cosine
+    from cadenza.sources.catalog import Catalog
+
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.integers(-3, 4, 6).astype(float).tolist(), 0) for k in range(1, 700)] + [(k, rng.normal(size=6).tolist(), 0) for k in range(700, 1000)]
+    rows += [(1000, [1.0, float("nan"), 0, 0, 0, 0], 0), (1001, None, 0), (1002, [1.0, None, 0, 0, 0, 0], 0), (1100, None, 0), (1200, [0.0] * 6, 0)]
+    df = spark.createDataFrame([(k, None if v is None else [None if x is None else float(x) for x in v], label) for k, v, label in rows], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    e = df.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    users = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("u"), F.col("v").alias("w"))
+    plain = {}
+    for r in e.join(users, F.col("vec_id") != F.col("u")).select("u", "vec_id", F.round(cosine(F.col("w"), F.col("v")), 9).alias("s")).collect():
+        plain.setdefault(r.u, []).append((r.s is None, not (r.s is not None and math.isnan(r.s)), -(r.s or 0.0) if r.s is None or not math.isnan(r.s) else 0.0, r.vec_id))
+    got = recommend.rec_cosine_topk(Catalog(spark, str(tmp_path)))
+    found = {}
+    for r in got.orderBy("user_id", "position").collect():
+        found.setdefault(r.user_id, []).append(r.track_id)
+    assert found == {u: [t for *_, t in sorted(v)[:10]] for u, v in plain.items()}
+
+
 def test_catalog_of_recommendations_is_staged_once(spark):
     """Its joins and groups are not in the plans of what reads it."""
     from pathlib import Path
