@@ -145,6 +145,19 @@ def test_steps_leave_no_shuffle_files(spark):
         kept.collect()
 
 
+def test_likeness_on_axes(spark):
+    """Of a few rows the cosine on the axes, 0 where one is zero; computed in tasks' arrays."""
+    axes = recommend.Projection(((1.0, 0.0, 0.0), (0.0, 0.6, 0.8)), (0.5, 0.5))
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=3).tolist(), rng.normal(size=3).tolist()) for k in range(30)] + [(30, [0.0, 0.0, 0.0], [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "k int, vector array<double>, user_vector array<double>").withColumn("r", recommend.on_axes(axes))
+    a = np.array(axes.axes).T
+    for (_, v, u), r in zip(rows[:30], df.orderBy("k").collect(), strict=False):
+        x, y = np.array(v) @ a, np.array(u) @ a
+        assert math.isclose(r.r, float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), abs_tol=1e-12)
+    assert df.where("k = 30").first().r == 0.0 and "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_diverse_passes_columns(spark):
     rows = spark.createDataFrame([(1, k, "a" if k < 3 else f"b{k}", None if k == 4 else ["x"], [1.0, float(k)], 1.0 - k / 10, f"n{k}") for k in range(6)], "user_id int, track_id long, artist_name string, genres array<string>, vector array<double>, relevance double, name string")
     got = recommend.diverse(rows, 4, keep=("name", "relevance")).orderBy("rank").collect()
